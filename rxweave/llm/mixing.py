@@ -98,7 +98,8 @@ def plan(sized: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 def with_copies(sized: DataFrame, planned: DataFrame) -> DataFrame:
     """sized with source_size, target and copies, the number of times the mix takes the row."""
-    d, p = sized.alias("d"), planned.withColumnRenamed("source", "plan_source").alias("p")
+    planned = cut(planned.withColumnRenamed("source", "plan_source"))
+    d, p = sized.alias("d"), (F.broadcast(planned) if small(planned) else planned).alias("p")
     more = (F.col("d.key") <= F.col("p.last_key")).cast("int")
     return d.join(p, F.col("d.source").eqNullSafe(F.col("p.plan_source"))).select(
         "d.*", "p.source_size", "p.target", (F.col("p.whole") + more).alias("copies")
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> Data
     words come within half a document of its target.  Documents without words follow their source's plan like any other.
     Equal doc_ids are taken together.  An empty table gives an empty table.
     """
-    planned = plan(cut(sizes(docs, seed)), max_epochs).withColumnRenamed("source", "mix_source")
+    planned = cut(plan(cut(sizes(docs, seed)), max_epochs).withColumnRenamed("source", "mix_source"))
     d, p = docs.alias("d"), planned.alias("p")
     copies = F.col("p.whole") + (sampling_key(F.col("d.doc_id"), seed) <= F.col("p.last_key")).cast("int")
     taken = d.join(F.broadcast(p) if small(planned) else p, F.col("d.source").eqNullSafe(F.col("p.mix_source")))

@@ -1,8 +1,9 @@
 """The training-data queries and, where SQL can express them, their SQL."""
 
-from . import mixing, quality
+from . import mixing, quality, simhash
 
 QUERIES = {
+    "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_mix_sources": mixing.op6_mix_sources,
 }
