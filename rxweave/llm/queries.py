@@ -1,10 +1,13 @@
 """The training-data queries and, where SQL can express them, their SQL."""
 
-from . import mixing, quality, simhash
+from . import decontaminate, mixing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_token_ids": tokens.op10_token_ids,
 }
-ORACLES = {"op6_mix_sources": mixing.op6_sql()}
+ORACLES = {"op6_mix_sources": mixing.op6_sql(), "op9_decontaminate": decontaminate.op9_sql()}
