@@ -1,9 +1,10 @@
 """The training-data queries and, where SQL can express them, their SQL."""
 
-from . import decontaminate, mixing, quality, simhash, tokens, toxicity
+from . import decontaminate, mixing, pii, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
+    "op3_personal_data": pii.op3_personal_data,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op8_toxicity": toxicity.op8_toxicity,
