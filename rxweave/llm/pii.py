@@ -111,7 +111,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def vote_counts(found: DataFrame) -> DataFrame:
     """How often each combination of votes occurs, by kind: at most 4 x 2 x 18 rows, from all documents."""
-    spans = F.flatten(F.array(*(F.transform(F.col(k), lambda c, k=k: F.struct(F.lit(k).alias("kind"), c["loose"].alias("loose"), *(c[v].alias(v) for v in VOTES))) for k in KINDS)))
+    named = lambda k: lambda c: F.struct(F.lit(k).alias("kind"), c["loose"].alias("loose"), *(c[v].alias(v) for v in VOTES))
+    spans = F.flatten(F.array(*(F.transform(F.col(k), named(k)) for k in KINDS)))
     return found.select(F.explode(spans).alias("c")).select("c.*").groupBy("kind", "loose", *VOTES).agg(F.count("*").alias("n"))
 
 
@@ -144,8 +145,8 @@ def _posterior(row, share: float, chance: dict) -> float:
     return 1 / (1 + exp(-max(-30.0, min(30.0, odds))))
 
 
-def span_classifier(counts: DataFrame) -> Column | None:
-    """A logistic regression over votes, trained on the counted combinations, as a function of a span's votes; None without spans."""
+def span_classifier(counts: DataFrame) -> tuple[float, list[float]] | None:
+    """A logistic regression over votes, trained on the counted combinations: (intercept, a weight for each labeler); None without spans."""
     rows = counts.collect()  # by kind and combination of votes: never more than 144
     if not rows:
         return None
