@@ -8,8 +8,6 @@ looked up.  Items of fewer words are one window each and are looked up by the le
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +35,10 @@ def run_hashes(hashes: Column, n: int) -> Column:
     return F.when(F.size(hashes) >= n, F.transform(places, at)).otherwise(F.array().cast("array<bigint>"))
 
 
+def of_size(n: int):
+    return lambda hashes: run_hashes(hashes, n)
+
+
 def window_hash(grams: Column, i: Column) -> Column:
     """The hash of the WINDOW words from i on: of the GRAM words at its start and those at its end."""
     return F.xxhash64(F.get(grams, i), F.get(grams, i + (WINDOW - GRAM)))
@@ -88,7 +90,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     found = found.filter("h is not null").distinct()
     for n in sorted(lengths):
-        runs = rows.select("doc_id", "text_hash", F.posexplode(let(word_hashes(F.col("text")), partial(run_hashes, n=n))).alias("at", "h"))
+        runs = rows.select("doc_id", "text_hash", F.posexplode(let(word_hashes(F.col("text")), of_size(n))).alias("at", "h"))
         of_length = windows.filter(F.col("len") == n).select("h").distinct()
         found = found.union(runs.join(_sized(of_length), "h", "left_semi").select("doc_id", "text_hash", "at", "h", F.lit(n).alias("len")))
     return found.join(_sized(windows), ["h", "len"]).select("doc_id", "text_hash", "at", "len", "item_id")
