@@ -1,14 +1,15 @@
 """The training-data queries and, where SQL can express them, their SQL."""
 
-from . import decontaminate, mixing, pii, quality, simhash, tokens, toxicity
+from . import decontaminate, mixing, pii, quality, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
     "op3_personal_data": pii.op3_personal_data,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_warc": warc.op7_warc,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_ids": tokens.op10_token_ids,
 }
-ORACLES = {"op6_mix_sources": mixing.op6_sql(), "op9_decontaminate": decontaminate.op9_sql()}
+ORACLES = {"op6_mix_sources": mixing.op6_sql(), "op7_warc": warc.op7_sql(), "op9_decontaminate": decontaminate.op9_sql()}
