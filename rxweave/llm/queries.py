@@ -1,11 +1,12 @@
 """The training-data queries and, where SQL can express them, their SQL."""
 
-from . import decontaminate, mixing, pii, quality, simhash, tokens, toxicity, warc
+from . import decontaminate, mixing, pii, quality, repeats, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
     "op3_personal_data": pii.op3_personal_data,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_suffix_array_dedup": repeats.op5_suffix_array_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_warc": warc.op7_warc,
     "op8_toxicity": toxicity.op8_toxicity,

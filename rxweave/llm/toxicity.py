@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .rolling import Rolling, mixed
 
 BITS = 24
 #: Labelled rows that a model is fitted on at most (as expected: rows are chosen by hash), and rows that one task learns from.
@@ -24,45 +25,29 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 STEM = 5
 #: Texts are joined up to so many bytes before they are cut into words together.
 AT_ONCE = 1 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WORD_BYTE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    values = np.full(n, base, np.uint64)
-    values[:1] = 1
-    return np.multiply.accumulate(values)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ h >> np.uint64(29)
-
-
 class Hasher:
     """Distinct features of whole texts: (place of the text, hash), ordered by both."""
 
     def __init__(self):
-        self.powers = self.inverse = np.zeros(0, np.uint64)
+        self.rolling = Rolling()
 
     def _one(self, texts: list[bytes], first: int) -> np.ndarray:
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        if len(data) > len(self.powers):
-            self.powers, self.inverse = _powers(BASE, len(data)), _powers(INVERSE, len(data))
         inside = WORD_BYTE[data].astype(np.int8)
         edges = np.diff(inside, prepend=np.int8(0))
         begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=sums[1:])
-        of = lambda b, e: _mixed((sums[e] - sums[b]) * self.inverse[b])
+        self.rolling.load(data)
+        of = self.rolling.of
         words = of(begin, end)
         starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1]))
         text = np.searchsorted(starts, begin, "right") - 1
-        found = [(text, words), (text, _mixed(of(begin, np.minimum(end, begin + STEM)) + np.uint64(7)))]
+        found = [(text, words), (text, mixed(of(begin, np.minimum(end, begin + STEM)) + np.uint64(7)))]
         for gap in (1, 2, 3):
             near = text[gap:] == text[:-gap]
-            found.append((text[gap:][near], _mixed(words[:-gap][near] * np.uint64(2 * gap + 1) + words[gap:][near])))
+            found.append((text[gap:][near], mixed(words[:-gap][near] * np.uint64(2 * gap + 1) + words[gap:][near])))
         both = [np.uint64(first) + t.astype(np.uint64) << np.uint64(BITS) | h >> np.uint64(64 - BITS) for t, h in found]
         return np.concatenate(both)
 
