@@ -1,8 +1,9 @@
 """The training-data queries and, where SQL can express them, their SQL."""
 
-from . import decontaminate, mixing, pii, quality, repeats, simhash, tokens, toxicity, warc
+from . import decontaminate, mixing, pii, quality, repeats, secrets, simhash, tokens, toxicity, warc
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_simhash_near_duplicates": simhash.op2_simhash_near_duplicates,
     "op3_personal_data": pii.op3_personal_data,
     "op4_quality_rules": quality.op4_quality_rules,
