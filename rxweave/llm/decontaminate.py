@@ -14,47 +14,66 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut, let, table
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z become lower case.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 5
 #: Rows of (fingerprint) or (window, item) that are broadcast at most; beyond, the joins shuffle.
 BROADCAST_ROWS = 200_000
 
 
 def count_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(ascii_lower(text), F.lit(WORDS)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(ANY_CASE)), F.lit(0)).cast("long")
 
 
-def word_hashes(text: Column) -> Column:
-    """One 64-bit hash a word, in order; null texts have none."""
-    return F.transform(F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0)), lambda word: F.xxhash64(word))
+def words_of(text: Column) -> Column:
+    """The words of a text in order; null texts have none."""
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
 
 
-def run_hashes(hashes: Column, n: int) -> Column:
-    """Hashes of n consecutive entries, at each place where they fit."""
-    places = F.sequence(F.lit(0), F.size(hashes) - n)
-    at = lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(n)))
-    return F.when(F.size(hashes) >= n, F.transform(places, at)).otherwise(F.array().cast("array<bigint>"))
+def run_hashes(words: Column, n: int) -> Column:
+    """64-bit hashes of n consecutive words, at each place where they fit."""
+    places = F.sequence(F.lit(1), F.size(words) - (n - 1))
+    return F.when(F.size(words) >= n, F.transform(places, lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def of_size(n: int):
-    return lambda hashes: run_hashes(hashes, n)
+    return lambda words: run_hashes(words, n)
 
 
 def window_hash(grams: Column, i: Column) -> Column:
-    """The hash of the WINDOW words from i on: of the GRAM words at its start and those at its end."""
-    return F.xxhash64(F.get(grams, i), F.get(grams, i + (WINDOW - GRAM)))
+    """The hash of the WINDOW words from i on: of the GRAM words at its start and those at its end; null past either end."""
+    both = F.xxhash64(F.get(grams, i), F.get(grams, i + (WINDOW - GRAM)))
+    return F.when((i >= 0) & (i + (WINDOW - GRAM) < F.size(grams)), both)
 
 
 def winnowed(grams: Column) -> Column:
-    """Distinct (h, at): the smallest GRAM hash of each window, the first of equals; empty below WINDOW words."""
-    wide = WINDOW - GRAM + 1
+    """Distinct places of the smallest GRAM hash of each window, the first of equals; empty below WINDOW words.
+
+    A hash's upper 40 bits and its place make one number, so the smallest of a slice says where it is.  Which of several
+    hashes with the same upper bits is kept depends on their order in the window, and so on the window alone.
+    """
+    wide, place = WINDOW - GRAM + 1, (1 << 24) - 1
+
+    def kept(numbered: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(numbered) - (wide - 1))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(numbered, i, wide)).bitwiseAND(F.lit(place)).cast("int")))
+
+    numbered = F.transform(grams, lambda h, i: h.bitwiseAND(F.lit(-1 - place)).bitwiseOR(i.cast("long")))
+    return F.when(F.size(grams) >= wide, let(numbered, kept)).otherwise(F.array().cast("array<int>"))
 
-    def smallest(i: Column) -> Column:
-        h = lambda k: F.get(grams, i + k)
-        # Equal hashes within a window give the same h; any of their places will do, as all windows around it are looked up.
-        return F.array_min(F.array(*(F.struct(h(k).alias("h"), (i + k).alias("at")) for k in range(wide))))
 
-    places = F.sequence(F.lit(0), F.size(grams) - wide)
-    return F.when(F.size(grams) >= wide, F.array_distinct(F.transform(places, smallest))).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
+def fingerprints(words: Column) -> Column:
+    """array<struct<h, at, near>>: the winnowed fingerprints, and the GRAM hashes of all windows around each, from place max(0, at - reach)."""
+    reach = WINDOW - GRAM
+
+    def found(grams: Column) -> Column:
+        def described(at: Column) -> Column:
+            first = F.greatest(at - reach, F.lit(0))
+            return F.struct(F.get(grams, at).alias("h"), at.alias("at"), F.slice(grams, first + 1, at - first + reach + 1).alias("near"))
+
+        return F.transform(winnowed(grams), described)
+
+    return let(let(words, of_size(GRAM)), found)
 
 
 def _sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -67,7 +86,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     docs has doc_id, text; items item_id, text.  Other columns are not read.
     """
-    tests = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), word_hashes(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
+    tests = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
     long_items = tests.filter(F.size("words") >= WINDOW).select("item_id", run_hashes(F.col("words"), GRAM).alias("grams"))
     last = F.size("grams") - (WINDOW - GRAM) - 1
     windows = cut(
@@ -76,21 +95,17 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
         .union(_short_windows(tests))
         .distinct()
     )
-    prints = cut(long_items.select(F.explode(winnowed(F.col("grams"))).alias("p")).select(F.col("p.h").alias("h")).distinct())
+    prints = cut(long_items.select(F.explode(F.transform(winnowed(F.col("grams")), lambda at: F.get(F.col("grams"), at))).alias("h")).distinct())
     lengths = [r.len for r in windows.filter(F.col("len") < WINDOW).select("len").distinct().collect()]
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    met = rows.select("doc_id", "text_hash", F.explode(_document_prints(F.col("text"))).alias("p")).select(
-        "doc_id", "text_hash", F.col("p.h").alias("h"), F.col("p.at").alias("at"), F.col("p.around").alias("around")
-    )
-    near = met.join(_sized(prints), "h", "left_semi")
-    place = F.col("at") - (WINDOW - GRAM) + F.col("k")
-    found = near.select("doc_id", "text_hash", "at", F.posexplode("around").alias("k", "h")).select(
-        "doc_id", "text_hash", place.alias("at"), "h", F.lit(WINDOW).alias("len")
-    )
-    found = found.filter("h is not null").distinct()
+    met = rows.select("doc_id", "text_hash", F.explode(fingerprints(words_of(F.col("text")))).alias("p")).select("doc_id", "text_hash", "p.*")
+    near = met.join(_sized(prints), "h", "left_semi").withColumn("first", F.greatest(F.col("at") - (WINDOW - GRAM), F.lit(0)))
+    starts = F.transform(F.sequence(F.lit(0), F.size("near") - 1), lambda i: window_hash(F.col("near"), i))
+    found = near.select("doc_id", "text_hash", "first", F.posexplode(starts).alias("k", "h")).filter("h is not null")
+    found = found.select("doc_id", "text_hash", (F.col("first") + F.col("k")).alias("at"), "h", F.lit(WINDOW).alias("len")).distinct()
     for n in sorted(lengths):
-        runs = rows.select("doc_id", "text_hash", F.posexplode(let(word_hashes(F.col("text")), of_size(n))).alias("at", "h"))
+        runs = rows.select("doc_id", "text_hash", F.posexplode(let(words_of(F.col("text")), of_size(n))).alias("at", "h"))
         of_length = windows.filter(F.col("len") == n).select("h").distinct()
         found = found.union(runs.join(_sized(of_length), "h", "left_semi").select("doc_id", "text_hash", "at", "h", F.lit(n).alias("len")))
     return found.join(_sized(windows), ["h", "len"]).select("doc_id", "text_hash", "at", "len", "item_id")
@@ -105,23 +120,6 @@ def _short_windows(tests: DataFrame) -> DataFrame:
     return short.select("item_id", hashed.alias("h"), F.size("words").alias("len"))
 
 
-def _document_prints(text: Column) -> Column:
-    """Winnowed fingerprints of a text, each with the hashes of the windows that hold it (null where the text ends)."""
-
-    def with_windows(grams: Column) -> Column:
-        reach = WINDOW - GRAM
-
-        def around(p: Column) -> Column:
-            starts = (p["at"] - reach + k for k in range(reach + 1))
-            fits = lambda s: (s >= 0) & (s + reach < F.size(grams))
-            of = F.array(*(F.when(fits(s), window_hash(grams, s)) for s in starts))
-            return F.struct(p["h"].alias("h"), p["at"].alias("at"), of.alias("around"))
-
-        return F.transform(winnowed(grams), around)
-
-    return let(let(word_hashes(text), lambda w: run_hashes(w, GRAM)), with_windows)
-
-
 def _covered(spans: Column) -> Column:
     """Words under a union of (at, len)."""
     step = lambda acc, s: F.struct(
