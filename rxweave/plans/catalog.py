@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from . import evaluation, knowledge, review, texts  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
+
+FLAGSHIP = "q_report"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
