@@ -4,8 +4,8 @@ Every 200-byte window has one smallest hash among its 32-byte strings (its ancho
 windows are cut into segments by anchor and segments meet by anchor hash.  Segments that are equal as a whole are repeats.
 Of the rest that share an anchor hash, tasks join a bounded number of segments into one text, build its Burrows-Wheeler
 transform and find its longest common prefixes by increasing value, breadth first, with backward extension of suffix
-intervals, up to 199: places between suffixes that are left then share 200 bytes or more.  Anchors with more segments than a
-task takes go window by window through a shuffle instead, which is exact as well.
+intervals, up to 199: places between suffixes that are left then share 200 bytes or more.  Segments of anchors with
+more of them than a task takes are compared through shuffles instead, by blocks of windows and then by window, exactly as well.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ GRAM = 32
 #: Segments of one anchor that are gathered at most, and bytes of segments that are joined for one transform.
 GATHER = 200
 BLOCK = 1 << 19
+#: Windows that are compared as one first, where anchors have more segments than that.
+TOGETHER = 13
 #: Windows of a long text that are cut into segments at a time; a segment then ends there, and nothing else changes.
 SLICE = 1 << 22
 PLACE = np.uint64((1 << 24) - 1)
@@ -190,20 +192,38 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["k", "l", "h", "many", "n", "a", "bytes"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of each segment: two hashes of its bytes, and where it is."""
+def blocks_of(data: bytes, h: int, first: Rolling, second: Rolling):
+    """Blocks of windows of a segment, by their distance from its anchor: (first window, core hashes x and y, whole hash z, hashes of the windows).
+
+    The windows of a block all hold its core, so windows that are equal have equal cores; segments may begin or end within a block.
+    """
+    for r in (first, second):
+        r.load(np.frombuffer(data, np.uint8))
+    anchor = int(np.flatnonzero(first.runs(GRAM).view(np.int64) == h)[-1])  # none follows within a window that has this anchor
+    windows = first.runs(LEAST)
+    block = (anchor - np.arange(len(windows))) // TOGETHER
+    begin = np.flatnonzero(np.diff(block, prepend=-1))
+    end = np.append(begin[1:], len(windows)) - 1
+    core, core_end = anchor - TOGETHER * block[begin], anchor - TOGETHER * (block[begin] + 1) + 1 + LEAST
+    x, y = first.of(core, core_end), mixed(second.of(core, core_end) + block[begin].astype(np.uint64))
+    z = mixed(first.of(begin, end + LEAST) + ((anchor - begin) * 1024 + anchor - end).astype(np.uint64))
+    cut_up = [windows[b : e + 1].view(np.int64) for b, e in zip(begin, end, strict=True)]
+    return begin, x.view(np.int64), y.view(np.int64), z.view(np.int64), cut_up
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first, second = Rolling(BASES[0]), Rolling(BASES[1])
     for batch in batches:
-        for k, l, a, n, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            for r in (first, second):
-                r.load(np.frombuffer(data, np.uint8))
-            x, y = first.runs(LEAST), second.runs(LEAST)
-            own = [np.full(len(x), v) for v in (k, l)]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*own, a + np.arange(len(x)), np.full(len(x), n), x.view(np.int64), y.view(np.int64))], ["k", "l", "s", "n", "x", "y"])
-
-
-def _all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _packed(_windows(batches))
+        out, lists = [[] for _ in range(7)], []
+        for k, l, h, a, n, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            begin, x, y, z, windows = blocks_of(data, h, first, second)
+            for held, value in zip(out, (np.full(len(x), k), np.full(len(x), l), a + begin, np.full(len(x), n), x, y, z), strict=True):
+                held.append(value)
+            lists += windows
+        if lists:
+            offsets = np.concatenate(([0], np.cumsum([len(w) for w in lists]))).astype(np.int32)
+            w = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(v)) for v in out), w], ["k", "l", "s", "n", "x", "y", "z", "w"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,10 +262,25 @@ def repeated_spans(rows: DataFrame, gather: int = GATHER) -> DataFrame:
     few = fetched.filter("not many").groupBy("h").agg(F.collect_list(F.struct("k", "l", "a", "n", "bytes")).alias("group")).select("group")
     by_transform = few.mapInArrow(_gathered, "k long, l long, s long, e long")
 
-    windows = cut(fetched.filter("many").select("k", "l", "a", "n", "bytes").mapInArrow(_all_windows, "k long, l long, s long, n long, x long, y long"))
-    twice = cut(windows.groupBy("x", "y").agg(F.count("*").alias("times")).filter("times > 1").select("x", "y"))
-    by_window = windows.filter("n = 1").join(twice, ["x", "y"]).select("k", "l", "s", (F.col("s") + LEAST).alias("e"))
-    return whole.union(by_transform).union(by_window)
+    return whole.union(by_transform).union(_by_blocks(fetched.filter("many")))
+
+
+def _by_blocks(segments: DataFrame) -> DataFrame:
+    """(k, l, s, e) from segments of anchors that have too many for one task.
+
+    Blocks that are equal as a whole are repeats, a row each.  Of the others with an equal core, the windows are counted.
+    """
+    blocks = cut(segments.select("k", "l", "h", "a", "n", "bytes").mapInArrow(_blocks, "k long, l long, s long, n long, x long, y long, z long, w array<long>"))
+    kinds = cut(blocks.groupBy("x", "y", "z").agg(F.count("*").alias("times"), F.min(F.struct("k", "l", "s", "n", "w")).alias("one")))
+    equal = blocks.filter("n = 1").join(kinds.filter("times > 1").select("x", "y", "z"), ["x", "y", "z"])
+    unlike = cut(kinds.groupBy("x", "y").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("x", "y"))
+    single = (F.col("one.n") == 1) & (F.col("times") == 1)
+    windows = kinds.join(unlike, ["x", "y"]).select("x", "y", "one.k", "one.l", "one.s", single.alias("single"), F.posexplode("one.w").alias("at", "window"))
+    windows = cut(windows)
+    twice = cut(windows.groupBy("x", "y", "window").agg(F.count("*").alias("times")).filter("times > 1").select("x", "y", "window"))
+    found = windows.filter("single").join(twice, ["x", "y", "window"])
+    spans = equal.select("k", "l", "s", (F.col("s") + F.size("w") - 1 + LEAST).alias("e"))
+    return spans.union(found.select("k", "l", (F.col("s") + F.col("at")).alias("s"), (F.col("s") + F.col("at") + LEAST).alias("e")))
 
 
 def remove_repeats(docs: DataFrame, gather: int = GATHER) -> DataFrame:
