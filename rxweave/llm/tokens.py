@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ MAGIC = b"RXTOKV1\n"
 #: Ids gathered before a file is closed.
 FILE_IDS = 8_000_000
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Stems that are given to the tokenizer as one text.
+STEMS_AT_ONCE = 10_000
 #: Marks and symbols that may end a word; with Latin letters before, the tokenizer always cuts between the two.
 TAIL = ".,;:!?*$%&#|"
 LATIN = r"[A-Za-zÀ-ÖØ-öø-ÿ]+"
@@ -51,11 +54,18 @@ class Encoder:
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.latin = Tokenizer.from_file(path), re.compile(LATIN).fullmatch
-        self.words: dict[bytes, list[int]] = {}
-        self.stems: dict[str, list[int]] = {}
+        # Stems are lower-case, composed and whole already: the same merges without the steps before them.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        #: Little-endian unsigned 32-bit ids.
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
@@ -67,12 +77,24 @@ class Encoder:
             setattr(sys, key, cls(path))
         return getattr(sys, key)
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that the tokenizer never cuts before it merges: in a text of many, the last id of each is marked as one that ends a piece."""
+        out: list[bytes] = []
+        for i in range(0, len(pieces), STEMS_AT_ONCE):
+            some = pieces[i : i + STEMS_AT_ONCE]
+            ids = np.array(self.merges.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                raise ValueError("the tokenizer does not mark the end of a word once")
+            data, edges = ids.astype("<u4").tobytes(), [0, *(4 * stops).tolist()]
+            out += [data[b:e] for b, e in pairwise(edges)]
+        return out
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not seen before."""
         if len(self.stems) > REMEMBERED:
             self.stems.clear()
         cuts, other = [], []
@@ -83,24 +105,25 @@ class Encoder:
                 cuts.append((w, stem.lower(), word[len(stem) :]))
             else:
                 other.append(w)
-        stems = list({s for _, s, t in cuts for s in (s, t) if s not in self.stems})
-        self.stems |= zip(stems, self._whole(stems), strict=True)
-        for w, stem, tail in cuts:
-            self.words[w] = self.stems[stem] + self.stems[tail]
-        self.words |= zip(other, self._whole([w.decode("utf-8") for w in other]), strict=True)
+        stems = list({s for _, s, t in cuts for s in (s, t) if s and s not in self.stems})
+        known = self.stems
+        known[""] = b""
+        known |= zip(stems, self._parts(stems), strict=True)
+        found = {w: known[stem] + known[tail] for w, stem, tail in cuts}
+        return found | dict(zip(other, self._whole([w.decode("utf-8") for w in other]), strict=True))
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), 256):
             split = [(t or "").encode("utf-8").split() for t in texts[i : i + 256]]
-            new = set().union(*split)
-            if missing := [w for w in new if w not in self.words]:
-                self._learn(missing if len(self.words) + len(missing) <= REMEMBERED else list(new))
             known = self.words
+            missing = [w for w in set().union(*split) if w not in known]
+            found = self._learn(missing)
+            if len(known) + len(found) > REMEMBERED:
+                found |= {w: known[w] for w in set().union(*split) if w in known}
+                known = self.words = {}
+            known |= found
             for words in split:
-                ids: list[int] = []
-                for w in words:
-                    ids += known[w]
-                yield np.array(ids, np.uint32)
+                yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
 
 def _raw(folder: str, path: str):
