@@ -15,6 +15,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -135,8 +136,11 @@ def _raw(folder: str, path: str):
 
         def flush():
             nonlocal docs, valid, sizes, ids, n, seq
-            head = np.array([len(docs), n], "<i8").tobytes()
-            parts = [head, np.array(docs, "<i8").tobytes(), np.array(valid, np.uint8).tobytes(), np.array(sizes, "<i8").tobytes(), *(x.astype("<u4").tobytes() for x in ids)]
+            every = np.concatenate(ids)
+            width = 2 if every.max() < 1 << 16 else 4
+            head = np.array([len(docs), n, width], "<i8").tobytes()
+            packed = zstandard.ZstdCompressor(level=1).compress(every.astype(f"<u{width}").tobytes())
+            parts = [head, np.array(docs, "<i8").tobytes(), np.array(valid, np.uint8).tobytes(), np.array(sizes, "<i8").tobytes(), packed]
             row = {"part": [part], "seq": [seq], "path": [write_file(folder, f"raw-{part:06d}-{seq:04d}", parts)], "docs": [len(docs)], "ids": [n]}
             docs, valid, sizes, ids, n, seq = [], [], [], [], 0, seq + 1
             return pa.RecordBatch.from_pydict(row)
@@ -159,12 +163,13 @@ def _raw(folder: str, path: str):
 def _read_raw(path: str):
     with open_file(path) as f:
         data = f.read()
-    docs, n = np.frombuffer(data, "<i8", 2)
-    at = 16
+    docs, n, width = np.frombuffer(data, "<i8", 3)
+    at = 24
     doc = np.frombuffer(data, "<i8", docs, at)
     valid = np.frombuffer(data, np.uint8, docs, at + 8 * docs)
     sizes = np.frombuffer(data, "<i8", docs, at + 9 * docs)
-    return doc, valid, sizes, np.frombuffer(data, "<u4", n, at + 17 * docs)
+    ids = zstandard.ZstdDecompressor().decompress(memoryview(data)[at + 17 * int(docs) :], max_output_size=int(n * width))
+    return doc, valid, sizes, np.frombuffer(ids, f"<u{width}", n)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
