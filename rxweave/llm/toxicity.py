@@ -74,23 +74,35 @@ def ftrl_weight(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(features, toxic): each row's hashes, the bias last."""
+    hasher = Hasher()
+    for batch in batches:
+        text, feature = hasher(batch.column(0).to_pylist())
+        edge = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        with_bias = np.insert(feature, edge[1:], 1 << BITS).astype(np.int32)
+        offsets = pa.array((edge + np.arange(len(edge))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(with_bias)), batch.column(1)], ["features", "toxic"])
+
+
 def _learn(model: tuple[np.ndarray, np.ndarray, np.ndarray]):
     """One pass over a task's rows, from the sums (hash, z, n) of the round before; hash 1 << BITS is the bias."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
         z[model[0]], n[model[0]] = model[1], model[2]
-        hasher, seen = Hasher(), 0
+        seen = 0
         for batch in batches:
             labels = batch.column(1).to_pylist()
-            text, feature = hasher(batch.column(0).to_pylist())
-            edge = np.searchsorted(text, np.arange(len(labels) + 1))
-            for k, y in enumerate(labels):
-                x = np.append(feature[edge[k] : edge[k + 1]], 1 << BITS)
-                w = ftrl_weight(z[x], n[x])
-                g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
-                grown = n[x] + g * g
-                z[x] += g - (np.sqrt(grown) - np.sqrt(n[x])) / ALPHA * w
+            feature, edge = batch.column(0).flatten().to_numpy(), np.diff(batch.column(0).offsets.to_numpy()).cumsum().tolist()
+            for begin, end, y in zip([0, *edge], edge, labels, strict=False):
+                x = feature[begin:end]
+                zx, nx = z[x], n[x]
+                root = np.sqrt(nx)
+                w = np.where(np.abs(zx) <= L1, 0.0, (np.sign(zx) * L1 - zx) / ((BETA + root) / ALPHA + L2))
+                g = 1 / (1 + np.exp(-min(max(w.sum(), -30.0), 30.0))) - y
+                grown = nx + g * g
+                z[x] = zx + (g - (np.sqrt(grown) - root) / ALPHA * w)
                 n[x] = grown
             seen += len(labels)
         if seen:
@@ -112,7 +124,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.n
     share = min(1.0, fit_rows / max(total, 1))
     place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20))
     shards = max(1, -(-min(total, fit_rows) // SHARD_ROWS))
-    sample = cut(rows.filter(place < F.lit(round(share * (1 << 20)))).repartition(shards).select("text", "toxic"))
+    dealt = rows.filter(place < F.lit(round(share * (1 << 20)))).select("text", "toxic").repartition(shards)
+    sample = cut(dealt.mapInArrow(_features, "features array<int>, toxic int"))
     model = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     for _ in range(ROUNDS):
         sums = sample.mapInArrow(_learn(model), "hash long, z double, n double")
