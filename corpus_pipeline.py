@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rxweave.llm import decontaminate, mixing, simhash, tokens, toxicity
+from rxweave.llm import decontaminate, mixing, similar, tokens, toxicity
 from rxweave.llm.common import scratch, table
 
 
@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more, directly or over others."""
+    return similar.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,7 +216,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of near-duplicates: the smallest doc_id, then the smallest hash of the text."""
-    found = near_duplicates(docs)
+    return keep_first(docs, near_duplicates(docs))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with the first document of each root of found (doc_id, text_hash, root), which has a row per row of docs."""
     place = lambda prefix="": F.struct(F.col(f"{prefix}doc_id").isNull().alias("none"), F.col(f"{prefix}doc_id"), F.col(f"{prefix}text_hash"))
     found = cut(found.select("root", "doc_id", "text_hash"))
     first = found.groupBy("root").agg(F.min(place()).alias("first"), F.count("*").alias("n"))
