@@ -18,9 +18,11 @@ from .common import cut, table
 from .rolling import Rolling, mixed
 
 BITS = 24
-#: Labelled rows that a model is fitted on at most (as expected: rows are chosen by hash), and rows that one task learns from.
-FIT_ROWS, SHARD_ROWS = 24_000, 3_000
+#: Labelled rows that a model is fitted on at most (as expected: rows are chosen by hash).
+FIT_ROWS = 24_000
 ROUNDS = 8
+#: One in so many rows is kept for the calibration, if there are so many of each class among them.
+FOLDS, LEAST_HELD = 5, 10
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 STEM = 5
 #: Texts are joined up to so many bytes before they are cut into words together.
@@ -75,67 +77,95 @@ def ftrl_weight(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(features, toxic): each row's hashes, the bias last."""
+    """(features, toxic, place): each row's hashes, the bias last."""
     hasher = Hasher()
     for batch in batches:
         text, feature = hasher(batch.column(0).to_pylist())
         edge = np.searchsorted(text, np.arange(batch.num_rows + 1))
         with_bias = np.insert(feature, edge[1:], 1 << BITS).astype(np.int32)
         offsets = pa.array((edge + np.arange(len(edge))).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(with_bias)), batch.column(1)], ["features", "toxic"])
-
-
-def _learn(model: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """One pass over a task's rows, from the sums (hash, z, n) of the round before; hash 1 << BITS is the bias."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-        z[model[0]], n[model[0]] = model[1], model[2]
-        seen = 0
-        for batch in batches:
-            labels = batch.column(1).to_pylist()
-            feature, edge = batch.column(0).flatten().to_numpy(), np.diff(batch.column(0).offsets.to_numpy()).cumsum().tolist()
-            for begin, end, y in zip([0, *edge], edge, labels, strict=False):
-                x = feature[begin:end]
-                zx, nx = z[x], n[x]
-                root = np.sqrt(nx)
-                w = np.where(np.abs(zx) <= L1, 0.0, (np.sign(zx) * L1 - zx) / ((BETA + root) / ALPHA + L2))
-                g = 1 / (1 + np.exp(-min(max(w.sum(), -30.0), 30.0))) - y
-                grown = nx + g * g
-                z[x] = zx + (g - (np.sqrt(grown) - root) / ALPHA * w)
-                n[x] = grown
-            seen += len(labels)
-        if seen:
-            # Hashes whose sums a later round can't lift over L1 soon are left out; they start anew.
-            kept = np.flatnonzero(np.abs(z) > L1 / 4)
-            yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(z[kept]), pa.array(n[kept])], ["hash", "z", "n"])
-
-    return run
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(with_bias)), batch.column(1), batch.column(2)], ["features", "toxic", "place"])
+
+
+def calibration(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """(scale, shift) of the logistic curve through margins and labels, with Platt's targets, so that ends stay finite where margins part the classes."""
+    unit, many = max(float(np.abs(margin).max()), 1e-9), toxic.sum()
+    x = np.stack([margin / unit, np.ones(len(margin))])
+    target = np.where(toxic == 1, (many + 1) / (many + 2), 1 / (len(toxic) - many + 2))
+    loss = lambda c: float(np.sum(np.logaddexp(0, c @ x) - target * (c @ x)))
+    c = np.array([0.0, np.log((many + 1) / (len(toxic) - many + 1))])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(c @ x, -30, 30)))
+        slope = x @ (p - target)
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-9 * np.eye(2), slope)
+        size = 1.0
+        while size > 1e-6 and loss(c - size * step) > loss(c):
+            size /= 2
+        c = c - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return float(c[0]) / unit, float(c[1])
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, weight) from all rows of one task, ROUNDS passes in order; hash 1 << BITS is the bias."""
+    table = [b for b in batches if b.num_rows]
+    if not table:
+        return
+    feature = np.concatenate([b.column(0).flatten().to_numpy() for b in table])
+    edge = np.concatenate(([0], np.concatenate([np.diff(b.column(0).offsets.to_numpy()) for b in table]).cumsum(dtype=np.int64)))
+    labels, place = (np.concatenate([b.column(k).to_numpy() for b in table]) for k in (1, 2))
+    # Hashes are numbered by how often they occur, so that what is read most lies together.
+    count = np.bincount(feature, minlength=(1 << BITS) + 1)
+    hashes = np.flatnonzero(count)
+    hashes = hashes[np.argsort(-count[hashes], kind="stable")]
+    number = np.zeros(len(count), np.int32)
+    number[hashes] = np.arange(len(hashes))
+    feature = number[feature]
+    fold = place % FOLDS == 0
+    held = np.bincount(labels[fold], minlength=2)
+    if min(held) < LEAST_HELD or min(np.bincount(labels[~fold], minlength=2)) == 0:
+        fold[:] = False
+    z, n = np.zeros(len(hashes)), np.zeros(len(hashes))
+    rows = [(feature[edge[i] : edge[i + 1]], float(labels[i])) for i in np.flatnonzero(~fold)]
+    for _ in range(ROUNDS):
+        for x, y in rows:
+            zx, nx = z[x], n[x]
+            root = np.sqrt(nx)
+            w = np.where(np.abs(zx) <= L1, 0.0, (np.sign(zx) * L1 - zx) / ((BETA + root) / ALPHA + L2))
+            g = 1 / (1 + np.exp(-min(max(w.sum(), -30.0), 30.0))) - y
+            grown = nx + g * g
+            z[x] = zx + (g - (np.sqrt(grown) - root) / ALPHA * w)
+            n[x] = grown
+    weight = ftrl_weight(z, n)
+    if fold.any():
+        margin = np.add.reduceat(weight[feature], edge[:-1])
+        scale, shift = calibration(margin[fold], labels[fold])
+        if scale > 0:
+            weight *= scale
+            weight[number[1 << BITS]] += shift
+    used = np.flatnonzero(weight)
+    yield pa.RecordBatch.from_arrays([pa.array(hashes[used]), pa.array(weight[used])], ["hash", "weight"])
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """(hashes, weights, bias) from rows (doc_id, text, toxic); about fit_rows of them, chosen by a hash of doc_id, are used.
 
-    Tasks learn from SHARD_ROWS rows each and their sums are averaged, ROUNDS times over.  What comes to the driver is
-    bounded by the 2^24 hashes, and in practice is as short as L1 makes it.  Rows without a label are left out.
+    Features are hashed in parallel; then one task, bounded by fit_rows, goes over all rows, since sums of tasks that learn apart
+    and are averaged leave out what few rows show.  A fold of one in FOLDS is not learned from: scale and bias are set on it, so
+    that 0.5 parts the classes, if it has LEAST_HELD rows of each.  What comes to the driver is as short as L1 makes it.  Rows
+    without a label are left out.
     """
     rows = labelled.filter("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    total = rows.count()
-    share = min(1.0, fit_rows / max(total, 1))
+    share = min(1.0, fit_rows / max(rows.count(), 1))
     place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20))
-    shards = max(1, -(-min(total, fit_rows) // SHARD_ROWS))
-    dealt = rows.filter(place < F.lit(round(share * (1 << 20)))).select("text", "toxic").repartition(shards)
-    sample = cut(dealt.mapInArrow(_features, "features array<int>, toxic int"))
-    model = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    for _ in range(ROUNDS):
-        sums = sample.mapInArrow(_learn(model), "hash long, z double, n double")
-        merged = sums.groupBy("hash").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
-        model = tuple(merged.column(k).to_numpy() / (shards if k else 1) for k in range(3))
-        model = (model[0].astype(np.int64), *model[1:])
-    weights = ftrl_weight(model[1], model[2])
-    used = (weights != 0) & (model[0] < 1 << BITS)
-    bias = weights[model[0] == 1 << BITS]
-    return model[0][used], weights[used], float(bias.sum())
+    order = F.xxhash64(F.lit("order"), "doc_id", "text").alias("place")
+    dealt = rows.filter(place < F.lit(round(share * (1 << 20)))).select("text", "toxic", order)
+    sample = cut(dealt.mapInArrow(_features, "features array<int>, toxic int, place long"))
+    found = sample.repartition(1).sortWithinPartitions("place", "toxic").mapInArrow(_learn, "hash long, weight double").toArrow()
+    hashes, weights = (found.column(k).to_numpy() for k in range(2))
+    used = hashes < 1 << BITS
+    return hashes[used], weights[used], float(weights[~used].sum())
 
 
 def _scores(model: tuple[np.ndarray, np.ndarray, float]):
