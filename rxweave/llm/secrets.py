@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.  Built-in functions and Spark's own forest.
 
-A candidate is a run of 16 or more key characters with a digit among them.  The forest sees its length, how its characters
+A candidate is what follows a secret's name and a sign, if it has 6 or more characters, or else a run of 16 or more key
+characters; a name before "=" is not part of it.  The forest sees its length, how its characters
 follow each other, how much of it dictionary words cover, the path it came from and the words beside it, and is trained on
 labelled findings.  Scanning is a map over documents; nothing but the labelled findings is shuffled.
 """
@@ -17,7 +18,14 @@ from pyspark.sql import functions as F
 from .common import table
 from .spans import matches
 
-CANDIDATE = r"[A-Za-z0-9+/=_-]{16,}+"
+RUN = r"[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: What stands before a candidate in a match: a secret's name and a sign, or any name and "="; tried at the begin of a word only.
+NAMED = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*+[\"']?[\x20\t]*[:=])[A-Za-z0-9_-]*?(?i:key|token|secret|passw(?:or)?d|pwd|credential|bearer|authorization)[\"']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*[\"']?"
+ANY_NAME = r"(?<![A-Za-z0-9_-])[A-Za-z_][A-Za-z0-9_-]*+=[\"']?"
+VALUE = r"[^\s\"'`<>(){}\[\],;=:][^\s\"'`<>(){}\[\],;]{4,}[^\s\"'`<>(){}\[\],;.:]"
+CANDIDATE = f"{NAMED}{VALUE}|{ANY_NAME}{RUN}|{RUN}"
+#: Group 1 of a match is the candidate.
+CUT = f"^(?:{NAMED}(?={VALUE}$)|{ANY_NAME}(?={RUN}$)|)(.*)$"
 BESIDE = 40
 TREES, DEPTH, SEED = 40, 6, 11
 #: Rows of labelled_findings, the bounded set that a forest is trained on where the caller has none of their own.
@@ -68,20 +76,24 @@ def features(m: Column, before: Column, after: Column, path: Column) -> dict[str
     }
 
 
-def candidates(docs: DataFrame, path: str | None) -> DataFrame:
-    """(doc_id, start_at, end_at, candidate, and its features), one row per candidate; code points, end exclusive.  Null texts have none."""
+def _found(docs: DataFrame, path: str | None) -> DataFrame:
+    """(doc_id, path, start_at, end_at, candidate, before, after), one row per candidate."""
     text = F.coalesce(F.col("text"), F.lit(""))
     beside = F.transform(
-        F.filter(matches(text, CANDIDATE), lambda m: m["m"].rlike("[0-9]")),
+        F.transform(matches(text, CANDIDATE), lambda m: F.struct(m["e"].alias("e"), F.regexp_extract(m["m"], CUT, 1).alias("c"))),
         lambda m: F.struct(
-            m["s"].alias("start_at"), m["e"].alias("end_at"), m["m"].alias("candidate"),
-            F.substring(text, F.greatest(m["s"] + 1 - BESIDE, F.lit(1)), F.least(m["s"], F.lit(BESIDE))).alias("before"),
+            (m["e"] - F.length(m["c"])).alias("start_at"), m["e"].alias("end_at"), m["c"].alias("candidate"),
+            F.substring(text, F.greatest(m["e"] - F.length(m["c"]) + 1 - BESIDE, F.lit(1)), F.least(m["e"] - F.length(m["c"]), F.lit(BESIDE))).alias("before"),
             F.substring(text, m["e"] + 1, F.lit(BESIDE)).alias("after"),
         ),
     )
     place = F.col(path) if path else F.lit("")
-    rows = docs.filter(text.rlike(CANDIDATE)).select("doc_id", place.alias("path"), F.explode(beside).alias("c")).select("doc_id", "path", "c.*")
-    return _with_features(rows).drop("before", "after", "path")
+    return docs.filter(text.rlike(CANDIDATE)).select("doc_id", place.alias("path"), F.explode(beside).alias("c")).select("doc_id", "path", "c.*")
+
+
+def candidates(docs: DataFrame, path: str | None) -> DataFrame:
+    """(doc_id, start_at, end_at, candidate, and its features), one row per candidate; code points, end exclusive.  Null texts have none."""
+    return _with_features(_found(docs, path)).drop("before", "after", "path")
 
 
 def _with_features(rows: DataFrame) -> DataFrame:
@@ -89,10 +101,11 @@ def _with_features(rows: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
-    """(path, before, candidate, after, label): made findings of the kinds that scanners report, half of them real, by a fixed rule.
+    """(path, before, candidate, after, label): what the scan finds in made lines, one value in each, half of them real, by a fixed rule.
 
-    Real ones are random hexadecimal, base 64 or prefixed strings, most of them assigned to a name; the others are digests
-    with names such as commit, UUIDs, long numbers, joined words, repeated characters and placeholders.  Callers with
+    Real ones are random hexadecimal, base 64 or prefixed strings, strings of letters alone and short passwords, most of them assigned
+    to a name; the others are digests with names such as commit, UUIDs, long numbers, joined words, repeated characters, placeholders
+    and single words.  What is found beside a real value is false.  Callers with
     labelled findings of their own pass a table of this form instead.
     """
     pick = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
@@ -100,14 +113,16 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     hexes = F.sha2(F.concat(F.lit("h"), F.col("id").cast("string")).cast("binary"), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), F.col("id").cast("string")).cast("binary"), 256))), "[+/=]", "x")
     size = choose("size", (20, 24, 32, 36, 40))
-    kind = pick("kind", 6)
+    kind = pick("kind", 9)
     word = lambda k: choose(f"word{k}", DICTIONARY)
     real = (
         F.when(kind <= 1, F.substring(hexes, F.lit(1), choose("hex", (32, 40, 40, 48, 64))))
         .when(kind == 2, F.upper(F.substring(hexes, 1, 40)))
         .when(kind == 3, F.substring(b64, F.lit(1), size))
         .when(kind == 4, F.concat(choose("prefix", ("AKIA", "ghp_", "sk_live_", "xoxb-", "AIza", "glpat-")), F.substring(b64, F.lit(1), size)))
-        .otherwise(F.concat(F.substring(b64, 1, 20), choose("join", ("", "-", "_")), F.substring(hexes, 1, 12)))
+        .when(kind == 5, F.concat(F.substring(b64, 1, 20), choose("join", ("", "-", "_")), F.substring(hexes, 1, 12)))
+        .when(kind == 6, F.substring(F.translate(b64, "0123456789", "qWzKxVjTbN"), F.lit(1), size))
+        .otherwise(F.concat(F.substring(b64, F.lit(1), choose("short", (4, 5, 6, 8))), choose("mark", (".", "!", "@", "#", "-", "$")), F.substring(b64, F.lit(20), choose("rest", (3, 4, 6)))))
     )
     uuid = F.concat_ws("-", *(F.substring(hexes, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     digits = F.regexp_replace(F.concat(F.col("id").cast("string"), F.conv(F.substring(hexes, 1, 14), 16, 10)), "[^0-9]", "")
@@ -118,6 +133,9 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         .when(kind == 2, F.rpad(digits, 16, "7"))
         .when(kind == 3, F.concat(word(1), joint, word(2), joint, word(3), joint, word(4), joint, pick("no", 100).cast("string")))
         .when(kind == 4, F.concat(F.repeat(choose("char", ("x", "0", "A", "1", "-", "=")), 16), pick("no", 1000).cast("string")))
+        .when(kind == 6, F.concat(F.initcap(word(1)), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(9))))
+        .when(kind == 7, F.concat(word(1), choose("mark", ("", ".", "-", "_")), word(2)))
+        .when(kind == 8, choose("empty", ("changeme", "required", "password", "undefined", "optional", "your-password", "example", "another", "somewhere", "********")))
         .otherwise(F.concat(choose("stub", ("YOUR_API_KEY_", "example_token_", "changeme-changeme-", "INSERT-KEY-HERE-")), pick("no", 1000).cast("string"), F.lit("_example")))
     )
     is_real = F.col("id") % 2 == 0
@@ -125,15 +143,17 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     sign = choose("sign", (" = \"", ": \"", "=", ": ", "=\"", " = '"))
     filler = F.concat_ws(" ", word(5), word(6), word(7))
     other = choose("other", ("commit ", "sha256:", "md5 ", "checksum: ", "uuid=", "revision ", "etag: \"", "order ", ""))
-    bare = pick("bare", 10) < 2
+    bare = (pick("bare", 10) < 2) & (kind < 7)
     before = F.when(is_real, F.concat(filler, F.lit(" "), F.when(bare, F.lit("")).otherwise(F.concat(name, sign)))).otherwise(
         # Some placeholders and words are assigned to names as well; digests are not, for there the name decides.
-        F.concat(filler, F.lit(" "), F.when((kind >= 3) & (pick("assign", 2) == 0), F.concat(name, sign)).when(kind <= 1, F.when(other == "", F.lit("commit ")).otherwise(other)).otherwise(F.lit("")))
+        F.concat(filler, F.lit(" "), F.when((kind >= 7) | ((kind >= 3) & (pick("assign", 2) == 0)), F.concat(name, sign)).when(kind <= 1, F.when(other == "", F.lit("commit ")).otherwise(other)).otherwise(F.lit("")))
     )
     after = F.concat(F.regexp_extract(before, "([\"'])$", 1), F.lit(" "), word(8))
     path = F.when(pick("path", 10) < F.when(is_real, 1).otherwise(4), choose("trial", ("tests/data", "docs/readme", "examples/a", "yarn.lock"))).otherwise(choose("src", ("src/main", "web", "conf/app", "")))
-    made = spark.range(rows).select(path.alias("path"), before.alias("before"), F.when(is_real, real).otherwise(false).alias("candidate"), after.alias("after"), is_real.cast("double").alias("label"))
-    return made.filter(F.length("candidate") >= 16)
+    value = F.when(is_real, real).otherwise(false)
+    made = spark.range(rows).select(F.struct(value.alias("value"), is_real.alias("is_real")).alias("doc_id"), path.alias("path"), F.concat(before, value, after).alias("text"))
+    label = (F.col("doc_id.is_real") & (F.col("candidate") == F.col("doc_id.value"))).cast("double")
+    return _found(made, "path").select("path", "before", "candidate", "after", label.alias("label"))
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
