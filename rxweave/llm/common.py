@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the session names it, else one made for this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir where the session names it, else that of the context.
+
+    Where neither is set, a session in one process gets a folder of its own; on a cluster executors could not see that, so it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = known.rsplit("/", 1)[0] if known else "file://" + tempfile.mkdtemp(prefix="rxweave-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -40,6 +47,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table that is broadcast at most; beyond, the same join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, broadcast if a count of its rows shows that it is short."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that the caller's table does not have, upper and lower case being one."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder through Spark's own file systems."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

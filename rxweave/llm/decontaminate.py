@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, let, table
+from .common import ascii_lower, cut, fresh, let, sized, table
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z become lower case.
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 5
-#: Rows of (fingerprint) or (window, item) that are broadcast at most; beyond, the joins shuffle.
-BROADCAST_ROWS = 200_000
+#: Bits of a number that hold a word's place; no array can have more words.
+PLACE_BITS = 31
 
 
 def count_words(text: Column) -> Column:
@@ -49,10 +49,10 @@ def window_hash(grams: Column, i: Column) -> Column:
 def winnowed(grams: Column) -> Column:
     """Distinct places of the smallest GRAM hash of each window, the first of equals; empty below WINDOW words.
 
-    A hash's upper 40 bits and its place make one number, so the smallest of a slice says where it is.  Which of several
+    A hash's upper 33 bits and its place make one number, so the smallest of a slice says where it is.  Which of several
     hashes with the same upper bits is kept depends on their order in the window, and so on the window alone.
     """
-    wide, place = WINDOW - GRAM + 1, (1 << 24) - 1
+    wide, place = WINDOW - GRAM + 1, (1 << PLACE_BITS) - 1
 
     def kept(numbered: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(numbered) - (wide - 1))
@@ -76,11 +76,6 @@ def fingerprints(words: Column) -> Column:
     return let(let(words, of_size(GRAM)), found)
 
 
-def _sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, broadcast if it is known to be short."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_hash, at, len, item_id): places of document words where a window of an item lies, in words.
 
@@ -100,15 +95,15 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     met = rows.select("doc_id", "text_hash", F.explode(fingerprints(words_of(F.col("text")))).alias("p")).select("doc_id", "text_hash", "p.*")
-    near = met.join(_sized(prints), "h", "left_semi").withColumn("first", F.greatest(F.col("at") - (WINDOW - GRAM), F.lit(0)))
+    near = met.join(sized(prints), "h", "left_semi").withColumn("first", F.greatest(F.col("at") - (WINDOW - GRAM), F.lit(0)))
     starts = F.transform(F.sequence(F.lit(0), F.size("near") - 1), lambda i: window_hash(F.col("near"), i))
     found = near.select("doc_id", "text_hash", "first", F.posexplode(starts).alias("k", "h")).filter("h is not null")
     found = found.select("doc_id", "text_hash", (F.col("first") + F.col("k")).alias("at"), "h", F.lit(WINDOW).alias("len")).distinct()
     for n in sorted(lengths):
         runs = rows.select("doc_id", "text_hash", F.posexplode(let(words_of(F.col("text")), of_size(n))).alias("at", "h"))
         of_length = windows.filter(F.col("len") == n).select("h").distinct()
-        found = found.union(runs.join(_sized(of_length), "h", "left_semi").select("doc_id", "text_hash", "at", "h", F.lit(n).alias("len")))
-    return found.join(_sized(windows), ["h", "len"]).select("doc_id", "text_hash", "at", "len", "item_id")
+        found = found.union(runs.join(sized(of_length), "h", "left_semi").select("doc_id", "text_hash", "at", "h", F.lit(n).alias("len")))
+    return found.join(sized(windows), ["h", "len"]).select("doc_id", "text_hash", "at", "len", "item_id")
 
 
 def _short_windows(tests: DataFrame) -> DataFrame:
@@ -133,26 +128,30 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated, which replace columns of those names.
 
     Null and empty texts have no words and are clean.  Repeated rows are judged alike; items with equal ids count once; a
-    null item_id is the empty string.  An empty benchmark leaves everything clean.
+    null item_id is the empty string.  An empty benchmark leaves everything clean, an empty table stays empty.  Whole texts are
+    read, however long.  Other columns of docs are returned as they are, whatever their names.
     """
     found = cut(hits(docs, items).distinct())
     of_doc = ["doc_id", "text_hash"]
     spans = found.select(*of_doc, "at", "len").distinct().groupBy(*of_doc).agg(_covered(F.collect_list(F.struct("at", "len"))).alias("hit"))
     named = found.select(*of_doc, "item_id").distinct().groupBy(*of_doc).agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
-    both = spans.join(named, [F.col("ids").isNotNull() & spans["doc_id"].eqNullSafe(named["doc_id"]), spans["text_hash"] == named["text_hash"]]).select(
-        spans["doc_id"].alias("hit_id"), spans["text_hash"].alias("hit_hash"), "hit", F.size("ids").cast("long").alias("items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("sha")
-    )
     new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    d = docs.drop(*new).withColumn("rx_hash", F.xxhash64("text"))
-    left = d.join(_sized(cut(both)), d["doc_id"].eqNullSafe(F.col("hit_id")) & (d["rx_hash"] == F.col("hit_hash")), "left")
+    d = docs.drop(*new)
+    own, key, key_hash, hit, items_, sha = fresh([*d.columns, *new], "own_hash", "found_id", "found_hash", "found_hit", "found_items", "found_sha")
+    n, m = spans.alias("n"), named.alias("m")
+    both = n.join(m, F.col("n.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("n.text_hash") == F.col("m.text_hash"))).select(
+        F.col("n.doc_id").alias(key), F.col("n.text_hash").alias(key_hash), F.col("hit").alias(hit), F.size("ids").cast("long").alias(items_), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias(sha)
+    )
+    d = d.withColumn(own, F.xxhash64("text"))
+    left = d.join(sized(cut(both)), d["doc_id"].eqNullSafe(F.col(key)) & (d[own] == F.col(key_hash)), "left")
     values = {
         "n_words": count_words(F.col("text")),
-        "n_hit": F.coalesce("hit", F.lit(0).cast("long")),
-        "n_items": F.coalesce("items", F.lit(0).cast("long")),
-        "items_sha256": F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)),
-        "contaminated": F.col("hit").isNotNull(),
+        "n_hit": F.coalesce(hit, F.lit(0).cast("long")),
+        "n_items": F.coalesce(items_, F.lit(0).cast("long")),
+        "items_sha256": F.coalesce(sha, F.sha2(F.lit("").cast("binary"), 256)),
+        "contaminated": F.col(hit).isNotNull(),
     }
-    return left.withColumns(values).drop("rx_hash", "hit_id", "hit_hash", "hit", "items", "sha")
+    return left.withColumns(values).drop(own, key, key_hash, hit, items_, sha)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

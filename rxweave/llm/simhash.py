@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, sized, table
 from .components import connected
 
 SHINGLE = 3
@@ -220,18 +220,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the first document of each root of found (doc_id, text_hash, root), which has a row per row of docs."""
-    place = lambda prefix="": F.struct(F.col(f"{prefix}doc_id").isNull().alias("none"), F.col(f"{prefix}doc_id"), F.col(f"{prefix}text_hash"))
+    """docs with the first document of each root of found (doc_id, text_hash, root), which has a row per row of docs.
+
+    Null doc_ids come last; of rows that repeat as a whole one stays.  Whatever columns docs has are returned as they are.
+    """
+    place = lambda: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
     found = cut(found.select("root", "doc_id", "text_hash"))
-    first = found.groupBy("root").agg(F.min(place()).alias("first"), F.count("*").alias("n"))
-    kept = found.join(first, "root").filter(place() == F.col("first"))
-    gone = found.join(first.filter("n > 1"), "root").filter(place() != F.col("first")).select("doc_id", "text_hash").distinct()
-    left = docs.withColumn("rx_hash", F.xxhash64("text")).alias("d")
-    g = gone.alias("g")
-    left = left.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.rx_hash") == F.col("g.text_hash")), "left_anti")
-    if kept.count() > first.count():  # whole rows that repeat
-        left = left.dropDuplicates(["doc_id", "rx_hash"])
-    return left.drop("rx_hash")
+    first = found.groupBy("root").agg(F.min(place()).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    several = cut(found.join(first, "root").select("doc_id", "text_hash", (place() == F.col("first")).alias("kept"), "root"))
+    gone = several.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    (own,) = fresh([*docs.columns, "gone_id", "gone_hash"], "own_hash")
+    left = docs.withColumn(own, F.xxhash64("text"))
+    left = left.join(sized(gone), left["doc_id"].eqNullSafe(F.col("gone_id")) & (left[own] == F.col("gone_hash")), "left_anti")
+    again = several.filter("kept").groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
+    if not again.isEmpty():  # whole rows that repeat
+        left = left.dropDuplicates(["doc_id", own])
+    return left.drop(own)
 
 
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,22 @@
-"""Near-duplicates by exact similarity: sets of word shingles whose Jaccard similarity reaches a bound.
+"""SimHash near-duplicates at a bound on similarity: what simhash.py does, for differences that its keys can't index.
 
-All shingles are put in one order, rare ones first.  Two sets of similarity t or more share one of the first
-n - ceil(t n) + 1 shingles of both (the prefix filter), so pairs meet under those, and whoever meets is held against the
-whole sets.  Nothing is estimated: the order decides about the work only, so counts of shingles may come from a sample.
+Texts whose five-word shingles have a Jaccard similarity of 0.8 differ in some 15 % of their fingerprint bits, 10 of 64, and no key
+of a few whole segments survives that.  So the fingerprint is a wider ring, of eight 16-bit segments, and texts first meet under
+a shingle: with all shingles in one order, rare ones first, two sets of similarity t or more share one of the first
+n - ceil(t n) + 1 of both.  Pairs that meet go through the pigeonring: somewhere on the ring a chain of consecutive segments begins whose
+cumulative differences stay within proportional budgets at every length.  Then comes the full Hamming distance, and for who is left
+the similarity of the whole sets.  The budget (see bits_allowed) lies far above what the bound on similarity makes likely.
+
+No group is compared as a whole and none is gathered.  Members of a group are first held against one of them; groups that
+this leaves in several parts go on, the members outside the largest part against all, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from fractions import Fraction
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -16,154 +24,357 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sized
 from .components import connected
-from .simhash import GATHER, SEED, _pairs, keep_first
+from .rolling import Rolling, mixed
+from .simhash import SEED, WIDTH, keep_first
 
 SHINGLE, LEAST = 5, 0.8
-#: Rows that shingles are counted in, the count from which one is put last, and how many of these there are at most.
-SAMPLE, COMMON, LISTED = 20_000, 4, 200_000
+SEGMENTS = 8
+BITS = SEGMENTS * WIDTH
+#: Shingles that are counted together, the count there from which one is reported, and how many are put last at most.  They set the
+#: order of shingles, and with it the work; the result is the same for any order.
+TOGETHER, OFTEN, LISTED = 4_000_000, 4, 200_000
+#: Members of a block, as expected.
+BLOCK = 512
+#: Bytes of text that are cut into words together.
+AT_ONCE = 1 << 20
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+NEXT_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def bits_allowed(least: float) -> int:
+    """Bits that fingerprints may differ in: six standard deviations above what is expected at the similarity."""
+    share = acos(2 * least / (1 + least)) / pi
+    return min(BITS, ceil(BITS * share + 6 * sqrt(BITS * share * (1 - share))))
+
+
+class Shingler:
+    """Distinct hashes, in order, of the word shingles of whole texts; A-Z count as a-z.  None without words, one for fewer words than a shingle has."""
+
+    def __init__(self, words: int = SHINGLE):
+        self.words, self.rolling = words, Rolling()
+
+    def _pieces(self, texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+        """Texts, and parts of long ones that end between words, up to AT_ONCE bytes together."""
+        owners, parts, size = [], [], 0
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                end = at + AT_ONCE
+                if end < len(text):
+                    found = NEXT_SPACE.search(text, end)
+                    end = found.start() if found else len(text)
+                part = text[at:end]
+                at = end
+                if parts and size + len(part) > AT_ONCE:
+                    yield owners, parts
+                    owners, parts, size = [], [], 0
+                owners.append(i)
+                parts.append(part)
+                size += len(part) + 1
+        if parts:
+            yield owners, parts
+
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the text, hash) of each word."""
+        owner, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for owners, parts in self._pieces(texts):
+            data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+            edges = np.diff((~SPACE[data]).astype(np.int8), prepend=np.int8(0))
+            begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            self.rolling.load(data)
+            starts = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+            owner.append(np.array(owners)[np.searchsorted(starts, begin, "right") - 1])
+            found.append(self.rolling.of(begin, end))
+        return np.concatenate(owner), np.concatenate(found)
+
+    def _joined(self, words: list[np.ndarray]) -> np.ndarray:
+        h = words[0]
+        for w in words[1:]:
+            h = h * FACTOR + w
+        return mixed(h + np.uint64(len(words)))
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        encoded = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+        owner, word = self._words(encoded)
+        edge = np.searchsorted(owner, np.arange(len(texts) + 1))
+        n = self.words
+        whole = self._joined([word[k : max(k, len(word) - n + 1 + k)] for k in range(n)])
+        out = []
+        for b, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            out.append(np.unique(whole[b : e - n + 1]) if e - b >= n else self._joined([word[k : k + 1] for k in range(b, e)]) if e > b else word[:0])
+        return out
+
+
+def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    """Two halves, signed, of a 128-bit SimHash of a set: a bit is 1 if it is set in over half the hashes."""
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(shingles), 1 << 16):
+        h = shingles[i : i + (1 << 16)]
+        both = np.stack([h, mixed(h ^ FACTOR)], axis=1)
+        counts += np.unpackbits(both.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    low, high = np.packbits(2 * counts > len(shingles), bitorder="little").view("<i8")
+    return int(low), int(high)
+
+
+def _often(words: int):
+    """(s, times): shingles that many different texts of a task have, counted over all of its texts, a bounded number of shingles at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, held, size, seen = Shingler(words), [], 0, set()
 
-def shingles(text: str | None, words_per_shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of a whole text's shingles in order; none without words, one for a text of fewer words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n, digest = max(1, len(words) - words_per_shingle + 1) if words else 0, xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + words_per_shingle]), SEED) for i in range(n)), np.uint64, n).view(np.int64))
+        def counted() -> pa.RecordBatch:
+            s, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            many = times >= OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(s[many].view(np.int64)), pa.array(times[many])], ["s", "times"])
 
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                for shingles in shingler(batch.column(0).slice(i, 256).to_pylist()):
+                    key = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+                    if key not in seen:
+                        seen.add(key)
+                        held.append(shingles)
+                        size += len(shingles)
+                    if size >= TOGETHER:
+                        yield counted()
+                        held, size = [], 0
+                        seen.clear()
+        yield counted()
 
-def _sets(words_per_shingle: int):
+    return run
+
+
+def common_shingles(docs: DataFrame, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in order, their counts): the LISTED that occur most, over all texts; what is rare within every task is left out."""
+    counted = docs.select("text").mapInArrow(_often(words), "s long, times long").groupBy("s").agg(F.sum("times").alias("times"))
+    found = counted.orderBy(F.desc("times"), "s").limit(LISTED).toArrow()
+    s, times = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(s)
+    return s[order], times[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: Fraction) -> np.ndarray:
+    """The first n - ceil(least n) + 1 shingles: those that are not common, then the less common ones."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    wanted = n + (-n * least.numerator // least.denominator) + 1
+    if not len(common[0]):
+        return shingles[:wanted]
+    at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+    known = common[0][at] == shingles
+    rare = shingles[~known]
+    if len(rare) >= wanted:
+        return rare[:wanted]
+    rest, times = shingles[known], common[1][at[known]]
+    return np.concatenate((rare, rest[np.lexsort((rest, times))][: wanted - len(rare)]))
+
+
+def _described(words: int, common: tuple[np.ndarray, np.ndarray], least: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(words), set()
         for batch in batches:
-            found = [shingles(t.as_py(), words_per_shingle) for t in batch.column(1)]
-            key = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found), np.uint64, len(found)).view(np.int64)
-            sizes = np.array([len(s) for s in found], np.int32)
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(key), pa.array(sizes), lists], ["doc_id", "text_hash", "key", "n", "shingles"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = shingler(part.column(1).to_pylist())
+                keys = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
+                # A text's copies in a task need no prefix of their own.
+                first = [not (k in seen or seen.add(k)) for k in keys]
+                prefixes = [prefix(s, common, least).view(np.int64) if f else np.zeros(0, np.int64) for s, f in zip(sets, first, strict=True)]
+                prints = [fingerprint(s) for s in sets]
+                offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), part.column(2), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array([len(s) for s in sets], np.int32)),
+                        *(pa.array(np.array([p[k] for p in prints], np.int64)) for k in range(2)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes))),
+                    ],
+                    ["doc_id", "text_hash", "key", "n", "low", "high", "prefix"],
+                )
 
     return run
 
 
-def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in order, their counts in a sample of the sets)."""
-    every = max(1, sets.count() // SAMPLE)
-    some = sets.filter(F.pmod("key", F.lit(every)) == 0).dropDuplicates(["key"]).select(F.explode("shingles").alias("s"))
-    found = some.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(LISTED).toArrow()
-    s, n = (found.column(k).to_numpy() for k in range(2))
-    return s[order := np.argsort(s)], n[order]
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (s, key) in order, those whose s has another key as well, once."""
+    s = k = np.zeros(0, np.int64)
+    matched = False  # whether the row held back has the s of one before it
+    for batch in batches:
+        s, k = (np.concatenate((held, batch.column(i).to_numpy())) for i, held in enumerate((s, k)))
+        if not len(s):
+            continue
+        new = np.concatenate(([True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])))
+        s, k = s[new], k[new]
+        same = s[1:] == s[:-1]
+        found = np.zeros(len(s), bool)
+        found[1:] |= same
+        found[:-1] |= same
+        found[0] |= matched
+        yield pa.RecordBatch.from_arrays([pa.array(s[:-1][found[:-1]]), pa.array(k[:-1][found[:-1]])], ["s", "key"])
+        s, k, matched = s[-1:], k[-1:], bool(found[-1])
+    if matched:
+        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(k)], ["s", "key"])
 
 
-def _prefixes(common: tuple[np.ndarray, np.ndarray], least: Fraction):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, size = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-            s, owner = batch.column(2).flatten().to_numpy(), np.repeat(np.arange(len(key)), size)
-            count = np.zeros(len(s), np.int64)
-            if len(common[0]):
-                at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
-                count = np.where(common[0][at] == s, common[1][at], 0)
-            s = s[np.lexsort((s, count, owner))]
-            place = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
-            first = place <= (size + (-size * least.numerator // least.denominator))[owner]
-            owner = owner[first]
-            yield pa.RecordBatch.from_arrays([pa.array(s[first]), pa.array(key[owner]), pa.array(size[owner].astype(np.int32)), pa.array(place[first].astype(np.int32))], ["s", "key", "n", "place"])
+def within_budgets(low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
+    """Whether fingerprints with these exclusive ors pass the ring: a chain of segments within proportional budgets, then the whole distance."""
+    segments = np.stack([(x >> np.uint64(WIDTH * k)) & np.uint64(0xFFFF) for x in (low, high) for k in range(SEGMENTS // 2)])
+    wrong = np.bitwise_count(segments).astype(np.int16)
+    chained = np.zeros(len(low), bool)
+    for start in range(SEGMENTS):
+        total, fits = np.zeros(len(low), np.int16), np.ones(len(low), bool)
+        for step in range(SEGMENTS):
+            total += wrong[(start + step) % SEGMENTS]
+            fits &= SEGMENTS * total <= (step + 1) * most
+        chained |= fits
+    return chained & (wrong.sum(0) <= most)
+
+
+def _able(a: np.ndarray, b: np.ndarray, least: Fraction) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity."""
+    return np.minimum(a, b) * least.denominator >= least.numerator * np.maximum(a, b)
+
+
+def _near(rows: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, least: Fraction, most: int) -> np.ndarray:
+    n, low, high = rows
+    out = _able(n[i], n[j], least)
+    at = np.flatnonzero(out)
+    out[at] = within_budgets(low[i[at]] ^ low[j[at]], high[i[at]] ^ high[j[at]], most)
+    return out
 
-    return run
 
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-def _enough(both: np.ndarray, a: np.ndarray, b: np.ndarray, least: Fraction) -> np.ndarray:
-    """Whether sets of sizes a and b that share so many have the similarity."""
-    return both * (least.numerator + least.denominator) >= least.numerator * (a + b)
 
+def _numbers(batch: pa.RecordBatch, columns: int) -> list[np.ndarray]:
+    return [batch.column(k).to_numpy() for k in range(columns)]
 
-def _candidates(least: Fraction):
-    """Pairs of a small group that can have the similarity if the shingle is the first one that they share."""
+
+def _to_the_first(least: Fraction, most: int):
+    """Of rows (s, key, n, low, high) in the order of s and key: each with the first of its s, if the ring lets the pair pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                key, n, place = (part.column(k).flatten().to_numpy().astype(np.int64) for k in range(3))
-                _, a, b = _pairs(np.diff(part.column(0).offsets.to_numpy()).astype(np.int64))
-                able = _enough(np.minimum(n[a] - place[a], n[b] - place[b]), n[a], n[b], least)
-                a, b = key[a[able]], key[b[able]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            rows = _numbers(batch, 5)
+            if not len(rows[0]):
+                continue
+            if head is not None:
+                rows = [np.concatenate((h, r)) for h, r in zip(head, rows, strict=True)]
+            s, key, n, low, high = rows
+            begins = np.concatenate(([True], s[1:] != s[:-1]))
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(s)), 0))
+            rest = np.flatnonzero(~begins)
+            near = rest[_near((n.astype(np.int64), low.view(np.uint64), high.view(np.uint64)), first[rest], rest, least, most)]
+            yield _pair_batch(key[first[near]], key[near])
+            head = [r[first[-1:]] for r in rows]
 
     return run
 
 
-def _compared(least: Fraction):
-    """Links that join the labels of a large group, each set held against all others that have another label."""
+def _across(least: Fraction, most: int):
+    """Of pairs of blocks of a group (lists of key, n, low, high, part, then the same of the other): pairs of different parts that pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for row in range(batch.num_rows):
-                key, label, sets = (batch.column(k)[row].values for k in range(3))
-                key, label = key.to_numpy(), np.unique(label.to_numpy(), return_inverse=True)[1]
-                size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
-                ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
-                order, begin = np.argsort(ids, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(ids))))
-                owner, edge = np.repeat(np.arange(len(key)), size)[order], np.concatenate(([0], np.cumsum(size)))
-                most, links = np.bincount(label).argmax(), []
-                for u in np.flatnonzero(label != most):
-                    both = np.bincount(np.concatenate([owner[begin[i] : begin[i + 1]] for i in ids[edge[u] : edge[u + 1]]]), minlength=len(key))
-                    near = np.flatnonzero(_enough(both, size[u], size, least))
-                    for v in near[np.unique(label[near], return_index=True)[1]]:
-                        if label[v] != label[u]:
-                            links.append((key[u], key[v]))
-                            label[label == label[v]] = label[u]
-                a, b = np.array(links, np.int64).reshape(-1, 2).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                sides = [[batch.column(k)[row].values.to_numpy() for k in range(5 * side, 5 * side + 5)] for side in (0, 1)]
+                key, n, low, high, part = (np.concatenate(x) for x in zip(*sides, strict=True))
+                left, right = np.arange(len(sides[0][0])), len(sides[0][0]) + np.arange(len(sides[1][0]))
+                i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+                apart = part[i] != part[j]
+                i, j = i[apart], j[apart]
+                near = _near((n.astype(np.int64), low.view(np.uint64), high.view(np.uint64)), i, j, least, most)
+                found.append((key[i[near]], key[j[near]]))
+            if found:
+                yield _pair_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    return run
+
+
+def _shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(words), set()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                sets = shingler(batch.column(0).slice(i, 256).to_pylist())
+                keys = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
+                first = [not (k in seen or seen.add(k)) for k in keys]
+                sets, keys = [s.view(np.int64) for s, f in zip(sets, first, strict=True) if f], [k for k, f in zip(keys, first, strict=True) if f]
+                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), lists], ["key", "shingles"])
 
     return run
 
 
-def link(sets: DataFrame, least: float = LEAST, gather: int = GATHER) -> DataFrame:
-    """Links (a, b) between different keys of sets (key, n, shingles) that connect just those whose similarity is least or more, directly or over others.
+class _Corpus:
+    """Texts, and what is known of them: (key, text_hash, n, low, high), a row for each set of shingles."""
+
+    def __init__(self, texts: DataFrame, marked: DataFrame, words: int, least: Fraction):
+        self.texts, self.words, self.least = texts, words, least
+        self.nodes = cut(marked.groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high")))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs of keys (a, b) whose whole sets have the similarity."""
+        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        hashes = cut(self.nodes.join(wanted, "key", "left_semi").select("text_hash").distinct())
+        texts = self.texts.join(sized(hashes), "text_hash", "left_semi").select("text")
+        sets = cut(texts.mapInArrow(_shingles(self.words), "key long, shingles array<long>").groupBy("key").agg(F.first("shingles").alias("shingles")))
+        side = lambda k: sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s_{k}"))
+        both = F.size(F.array_intersect("s_a", "s_b"))
+        enough = both * (self.least.numerator + self.least.denominator) >= self.least.numerator * (F.size("s_a") + F.size("s_b"))
+        return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
 
-    Members under a shingle are counted before they are gathered.  Pairs of small groups are held against the whole sets.
-    In a larger group all members are first held against the one that is in most such groups (of many copies of a text,
-    the text); only groups that this leaves in parts are compared as a whole, inside a task that emits a row per member at most.
+
+def link(texts: DataFrame, marked: DataFrame, words: int, least: Fraction, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between keys that connect just those whose similarity is least or more, directly or over others.
+
+    texts has text, text_hash; marked has key, text_hash, n, low, high, prefix.
+    """
+    most, corpus = bits_allowed(float(least)), _Corpus(texts, marked, words, least)
+    rows = marked.select(F.explode("prefix").alias("s"), "key")
+    shared = rows.repartition("s").sortWithinPartitions("s", "key").mapInArrow(_shared, "s long, key long")
+    met = cut(shared.join(corpus.nodes.drop("text_hash"), "key").select("s", "key", "n", "low", "high"))
+    first = cut(met.repartition("s").sortWithinPartitions("s", "key").mapInArrow(_to_the_first(least, most), "a long, b long").distinct())
+    links = corpus.links(first)
+
+    parts = connected(links).select(F.col("node").alias("key"), F.col("root").alias("part"))
+    named = cut(met.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")))
+    groups = named.groupBy("s").agg(F.count("*").alias("m"), F.min("part").alias("one"), F.max("part").alias("other")).filter("m > 2 and one <> other")
+    largest = named.groupBy("s", "part").agg(F.count("*").alias("m")).groupBy("s").agg(F.max_by("part", F.struct("m", "part")).alias("largest"))
+    split = groups.select("s", "m").join(largest, "s")
+    outside = named.join(split, "s").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / block)))
+    members = F.collect_list(F.struct("key", "n", "low", "high", "part"))
+    blocks = cut(outside.groupBy("s", "block").agg(members.alias("all"), F.collect_list(F.when(F.col("part") != F.col("largest"), F.struct("key", "n", "low", "high", "part"))).alias("few")))
+    fields = ("key", "n", "low", "high", "part")
+    x = blocks.filter(F.size("few") > 0).select("s", F.col("block").alias("x"), *(F.col(f"few.{c}").alias(f"x_{c}") for c in fields))
+    y = blocks.select("s", F.col("block").alias("y"), *(F.col(f"all.{c}").alias(f"y_{c}") for c in fields))
+    both = x.join(y, "s").select(*(f"{t}_{c}" for t in "xy" for c in fields))
+    second = both.mapInArrow(_across(least, most), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    return links.union(corpus.links(cut(second)))
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """(doc_id, text_hash, root), one row per row of docs; root is the same for near-duplicates, directly or over others.
+
+    Null, empty and blank texts are alike; a text of fewer words than a shingle has is one shingle.  Texts of any length are read whole.
+    Repeated rows share a root, an empty table gives none.  Other columns of docs are not read.
     """
     bound = Fraction(str(least))
-    whole = sets.select("key", "n", "shingles")
-    prefixes = whole.select("key", "n", "shingles").mapInArrow(_prefixes(_common(sets), bound), "s long, key long, n int, place int").distinct()
-    prefixes = cut(prefixes)
-    counted = prefixes.groupBy("s").agg(F.count("*").alias("m")).filter("m > 1")
-    members = cut(prefixes.join(counted, "s"))
-    few = members.filter(F.col("m") <= gather).groupBy("s").agg(*(F.collect_list(c).alias(c) for c in ("key", "n", "place"))).select("key", "n", "place")
-    pairs = few.mapInArrow(_candidates(bound), "a long, b long")
-    many = members.filter(F.col("m") > gather).select("s", "key")
-    often = many.groupBy("key").agg(F.count("*").alias("times"))
-    middle = many.join(often, "key").groupBy("s").agg(F.max_by("key", F.struct("times", "key")).alias("middle"))
-    stars = many.join(middle, "s").select(F.least("key", "middle").alias("a"), F.greatest("key", "middle").alias("b"))
-    pairs = cut(pairs.union(stars).filter("a != b").distinct())
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    used = cut(whole.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
-    side = lambda k: used.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("shingles").alias(f"s_{k}"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    enough = both * (bound.numerator + bound.denominator) >= bound.numerator * (F.col("n_a") + F.col("n_b"))
-    links = cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
-    if many.isEmpty():
-        return links
-    labels = connected(links).withColumnRenamed("node", "key")
-    named = many.join(labels, "key", "left").select("s", "key", F.coalesce("root", "key").alias("label"))
-    parted = named.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("s")
-    groups = named.join(parted, "s").join(used.select("key", "shingles"), "key").groupBy("s").agg(*(F.collect_list(c).alias(c) for c in ("key", "label", "shingles")))
-    return links.union(groups.select("key", "label", "shingles").mapInArrow(_compared(bound), "a long, b long"))
-
-
-def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE, least: float = LEAST, gather: int = GATHER) -> DataFrame:
-    """(doc_id, text_hash, root), one row per row of docs; texts without words are alike.  Other columns of docs are not read."""
-    rows = docs.select("doc_id", F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
-    kind = dict(rows.dtypes)["doc_id"]
-    sets = cut(rows.mapInArrow(_sets(words_per_shingle), f"doc_id {kind}, text_hash long, key long, n int, shingles array<long>"))
-    roots = cut(connected(link(sets, least, gather)))
-    named = sets.select("doc_id", "text_hash", "key").join(roots, F.col("key") == F.col("node"), "left")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    common = common_shingles(texts, words)
+    kinds = f"doc_id {dict(texts.dtypes)['doc_id']}, text_hash long, key long, n int, low long, high long, prefix array<long>"
+    marked = cut(texts.mapInArrow(_described(words, common, bound), kinds))
+    roots = cut(connected(link(texts, marked, words, bound, block)))
+    named = marked.select("doc_id", "text_hash", "key").join(roots, F.col("key") == F.col("node"), "left")
     return named.select("doc_id", "text_hash", F.coalesce("root", "key").alias("root"))
 
 
-def keep_one(docs: DataFrame, words_per_shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the smallest doc_id, then the smallest hash of the text."""
-    return keep_first(docs, near_duplicates(docs, words_per_shingle, least))
+def keep_one(docs: DataFrame, words: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """docs with one document of each group of near-duplicates: the smallest doc_id, then the smallest hash of the text; all columns stay."""
+    return keep_first(docs, near_duplicates(docs, words, least))

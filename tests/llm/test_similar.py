@@ -48,13 +48,13 @@ def made():
     return dict(enumerate([*texts, None, "", " \n", "one", "One", "one two three four", "one two three four five"]))
 
 
-@pytest.mark.parametrize("gather", [4, 10_000])
-def test_components(spark, gather):
+@pytest.mark.parametrize("block", [4, 10_000])
+def test_components(spark, block):
     texts = made()
     want = components(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     groups = {}
-    for r in similar.near_duplicates(docs, gather=gather).collect():
+    for r in similar.near_duplicates(docs, block=block).collect():
         groups.setdefault(r.root, set()).add(want[r.doc_id])
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
 
