@@ -112,16 +112,21 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = [b for b in batches if b.num_rows]
     if not table:
         return
-    feature = np.concatenate([b.column(0).flatten().to_numpy() for b in table])
-    edge = np.concatenate(([0], np.concatenate([np.diff(b.column(0).offsets.to_numpy()) for b in table]).cumsum(dtype=np.int64)))
     labels, place = (np.concatenate([b.column(k).to_numpy() for b in table]) for k in (1, 2))
+    edge = np.concatenate(([0], np.concatenate([np.diff(b.column(0).offsets.to_numpy()) for b in table]).cumsum(dtype=np.int64)))
+    feature = np.empty(edge[-1], np.int32)
+    # Batches go as they are copied, so that the features are held once.
+    at = 0
+    while table:
+        part = table.pop(0).column(0).flatten().to_numpy()
+        feature[at : at + len(part)] = part
+        at += len(part)
     # Hashes are numbered by how often they occur, so that what is read most lies together.
-    count = np.bincount(feature, minlength=(1 << BITS) + 1)
-    hashes = np.flatnonzero(count)
-    hashes = hashes[np.argsort(-count[hashes], kind="stable")]
-    number = np.zeros(len(count), np.int32)
-    number[hashes] = np.arange(len(hashes))
-    feature = number[feature]
+    number = np.bincount(feature, minlength=(1 << BITS) + 1).astype(np.int32)
+    hashes = np.flatnonzero(number)
+    hashes = hashes[np.argsort(-number[hashes], kind="stable")]
+    number[hashes] = np.arange(len(hashes), dtype=np.int32)
+    np.take(number, feature, out=feature, mode="clip")
     fold = place % FOLDS == 0
     held = np.bincount(labels[fold], minlength=2)
     if min(held) < LEAST_HELD or min(np.bincount(labels[~fold], minlength=2)) == 0:
