@@ -30,6 +30,8 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 3
 READ = 1 << 20
+#: The date of records where the caller names none, so that reruns write the same bytes.
+DATE = "1970-01-01T00:00:00Z"
 FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -55,12 +57,12 @@ def urn(page_id: int | None) -> str:
     return f"<urn:rxweave:page:{'' if page_id is None else page_id}>"
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, size: int, sha1: str) -> bytes:
+def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, size: int, sha1: str, date: str = DATE) -> bytes:
     headers = {
         "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": urn(page_id),
         "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
-        "WARC-Date": "1970-01-01T00:00:00Z",
+        "WARC-Date": date,
         "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode(),
         "X-Payload-Length": str(size),
     }
@@ -138,7 +140,7 @@ def read_archive(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
             yield parse_record(content)
 
 
-def _writer(folder: str, dictionary: bytes):
+def _writer(folder: str, dictionary: bytes, date: str = DATE):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -156,7 +158,7 @@ def _writer(folder: str, dictionary: bytes):
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 page_id, url, html, sha1, length, refers_to, revisit = row
-                frame = coder.compress(make_record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to, revisit, length, sha1))
+                frame = coder.compress(make_record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to, revisit, length, sha1, date))
                 frames.append(frame)
                 size, rows = size + len(frame), rows + 1
                 if size >= FILE_BYTES:
@@ -190,7 +192,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """(page_id, url, html, sha1, length, refers_to, revisit): html is null in revisits.
 
-    Payloads are equal when SHA-1, SHA-256 and length are.  Only digests that occur twice or more are joined, as a written
+    Payloads are equal when their SHA-256 is.  Only digests that occur twice or more are joined, as a written
     table, so a payload that fills a third of the pages can be split among tasks.  Of rows that repeat the largest page_id of
     their payload, one is the response as much as the other; null page_ids are below all others.
     """
@@ -206,16 +208,19 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return joined.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "sha1", "length", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame:
     """Write pages (page_id, url, html) as archives into folder; (path, records), a row for each file.
 
-    The dictionary is trained on the heads of SAMPLE_PAGES pages chosen by hash, a bounded sample; null html is empty.
+    The dictionary is trained on the heads of SAMPLE_PAGES pages chosen by hash, a bounded sample that decides about compression
+    alone.  Null and empty html is an empty payload; pages of any length are one record.  Rows that repeat are written as often as
+    they occur, see with_revisits for ties.  An empty table writes no file.  Other columns of pages are not read.
     """
-    chosen = pages.select(F.col("page_id"), F.substring("html", 1, SAMPLE_BYTES).alias("head")).filter("head is not null")
-    sample = chosen.orderBy(F.xxhash64("page_id"), F.xxhash64("head")).limit(SAMPLE_PAGES).collect()
+    keyed = pages.filter("html is not null").select(F.xxhash64("page_id", "html").alias("h"), F.substring("html", 1, SAMPLE_BYTES).alias("head"))
+    chosen = [r.h for r in keyed.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]  # numbers only; the heads of those alone follow
+    sample = keyed.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("head").alias("head")).orderBy("h").collect() if chosen else []
     dictionary = train_dictionary([r.head.encode("utf-8", "surrogatepass")[:SAMPLE_BYTES] for r in sample])
     rows = with_revisits(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), "sha1", "length", F.col("refers_to").cast("long"), "revisit")
-    return cut(rows.mapInArrow(_writer(folder, dictionary), "path string, records long"))
+    return cut(rows.mapInArrow(_writer(folder, dictionary, date), "path string, records long"))
 
 
 def read_archives(files: DataFrame) -> DataFrame:
