@@ -1,7 +1,8 @@
 """Exact substring removal: bytes under any 200-byte string that also starts elsewhere, by bounded interval expansion on a BWT.
 
 Every 200-byte window has one smallest hash among its 32-byte strings (its anchor).  Equal windows have equal anchors, so
-windows are cut into segments by anchor and segments meet by anchor hash.  Segments that are equal as a whole are repeats.
+windows are cut into segments by anchor and segments meet by anchor hash.  Segments that are equal as a whole, by the anchor's hash
+and 128 bits of XXH3 over all their bytes, are repeats.
 Of the rest that share an anchor hash, tasks join a bounded number of segments into one text, build its Burrows-Wheeler
 transform and find its longest common prefixes by increasing value, breadth first, with backward extension of suffix
 intervals, up to 199: places between suffixes that are left then share 200 bytes or more.  Segments of anchors with
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,17 +26,19 @@ from .rolling import BASES, Rolling, mixed
 LEAST = 200
 GRAM = 32
 #: Segments of one anchor that are gathered at most, and bytes of segments that are joined for one transform.
-GATHER = 200
+GATHER = 2000
 BLOCK = 1 << 19
 #: Windows that are compared as one first, where anchors have more segments than that.
 TOGETHER = 13
 #: Windows of a long text that are cut into segments at a time; a segment then ends there, and nothing else changes.
 SLICE = 1 << 22
 PLACE = np.uint64((1 << 24) - 1)
+#: A segment's first window, and how many follow it (fewer than SLICE), in one number.
+SPAN_BITS = 24
 
 
-def segments_of(data: np.ndarray, rolling: Rolling, least: int = LEAST) -> tuple[np.ndarray, ...]:
-    """(anchor hash, hash of all bytes, first window, last window) of each segment of a text; none below least bytes."""
+def segments_of(data: np.ndarray, rolling: Rolling, least: int = LEAST, digests: bool = True) -> tuple[np.ndarray, ...]:
+    """(anchor hash, first window, last window) of each segment of a text, none below least bytes; with digests also two halves of a hash of all bytes."""
     out = []
     for at in range(0, len(data) - least + 1, SLICE):
         part = data[at : at + SLICE + least - 1]
@@ -50,20 +54,36 @@ def segments_of(data: np.ndarray, rolling: Rolling, least: int = LEAST) -> tuple
         place = (PLACE - (np.minimum(low[:n], low[wide - width : wide - width + n]) & PLACE)).astype(np.int64)
         first = np.flatnonzero(np.diff(place, prepend=-1))
         last = np.append(first[1:], n) - 1
-        whole = mixed(rolling.of(first, last + least) + (last - first).astype(np.uint64))
-        out.append((grams[place[first]].view(np.int64), whole.view(np.int64), at + first, at + last))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
+        found = [grams[place[first]].view(np.int64), at + first, at + last]
+        if digests:
+            view, digest = memoryview(np.ascontiguousarray(part)), xxhash.xxh3_128_digest
+            whole = b"".join([digest(view[f:e]) for f, e in zip(first.tolist(), (last + least).tolist(), strict=True)])
+            found.extend(np.frombuffer(whole, np.int64).reshape(-1, 2).T)
+        out.append(found)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(5 if digests else 3))
+
+
+def _long_enough(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    for i, text in enumerate(texts):
+        if len(data := np.frombuffer(text.as_py() or b"", np.uint8)) >= LEAST:
+            yield i, data
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rolling = Rolling()
+    for batch in batches:
+        for _, data in _long_enough(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(segments_of(data, rolling, digests=False)[0])], ["h"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rolling = Rolling()
     for batch in batches:
         keys = [batch.column(k).to_numpy() for k in (0, 1)]
-        for i, text in enumerate(batch.column(2)):
-            if len(data := np.frombuffer(text.as_py() or b"", np.uint8)) >= LEAST:
-                found = segments_of(data, rolling)
-                own = [np.full(len(found[0]), k[i]) for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, *found)], ["k", "l", "h", "c", "a", "b"])
+        for i, data in _long_enough(batch.column(2)):
+            h, a, b, c, d = segments_of(data, rolling)
+            own = [np.full(len(h), k[i]) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, h, c, d, a << SPAN_BITS | b - a)], ["k", "l", "h", "c", "d", "ab"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -79,28 +99,43 @@ def _packed(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def _all_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _packed(_anchors(batches))
+
+
 def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _packed(_segments(batches))
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first depth symbols or more, by doubling; symbols are below 512."""
-    n, step = len(symbols), 6
+    """Suffixes sorted by their first depth symbols or more; symbols are below 512.
+
+    Sorted by 7 symbols first.  Then only suffixes that are still tied are sorted again, by their rank and those of the suffixes one and
+    two lengths on, which triples the length.
+    """
+    n, step = len(symbols), 7
     padded = np.concatenate((symbols.astype(np.int64), np.zeros(step, np.int64)))
     key = np.zeros(n, np.int64)
     for k in range(step):
         key = key << 9 | padded[k : k + n]
-    while True:
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.diff(sorted_key, prepend=sorted_key[:1] - 1) != 0)
-        if step >= depth or rank[order[-1]] == n:
-            return order
-        later = np.zeros(n, np.int64)
-        later[: max(0, n - step)] = rank[step:]
-        key = rank * (n + 1) + later
-        step *= 2
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))[:n]
+    slot, rank = np.arange(n), np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, slot, 0)) + 1
+    bits = max(1, n.bit_length())
+    while step < depth:
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(tied):
+            break
+        at = order[tied]
+        ahead = lambda d, at=at: np.where(at + d < n, rank[np.minimum(at + d, n - 1)], 0)
+        key, step = (rank[at] << 2 * bits | ahead(step) << bits | ahead(2 * step), 3 * step) if 3 * bits <= 63 else (rank[at] << bits | ahead(step), 2 * step)
+        by = np.argsort(key)
+        order[tied], key = at[by], key[by]
+        new[tied] = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[order[tied]] = np.maximum.accumulate(np.where(new, slot, 0))[tied] + 1
+    return order
 
 
 def shared_starts(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -111,7 +146,7 @@ def shared_starts(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndar
     """
     n = len(symbols)
     before = symbols[order - 1]
-    by_symbol = np.argsort(before, kind="stable")
+    by_symbol = np.argsort(before.astype(np.uint16), kind="stable")
     forward = np.empty(n, np.int64)  # from a suffix to the one that begins a symbol earlier, among suffixes in order
     forward[by_symbol] = np.arange(n)
     same = before[by_symbol][1:] == before[by_symbol][:-1]
@@ -248,15 +283,16 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(rows: DataFrame, gather: int = GATHER) -> DataFrame:
     """(k, l, s, e): repeated bytes of texts, from rows (k, l, bytes), k and l naming a row together.  Spans of a row may overlap."""
-    kinds = "k long, l long, h long, c long, a long, b long"
-    segments = rows.mapInArrow(_cut_up, kinds)
-    shared = cut(segments.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h"))
+    segments = rows.mapInArrow(_cut_up, "k long, l long, h long, c long, d long, ab long")
+    anchors = rows.select("bytes").mapInArrow(_all_anchors, "h long")
+    shared = cut(anchors.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h"))
     met = cut(segments.join(shared, "h"))
-    groups = cut(met.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "l", "a", "b")).alias("first")))
-    whole = met.join(groups.filter("n > 1").select("h", "c"), ["h", "c"]).select("k", "l", F.col("a").alias("s"), (F.col("b") + LEAST).alias("e"))
+    groups = cut(met.groupBy("h", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("k", "l", "ab")).alias("first")))
+    begin, end = (lambda ab: F.shiftright(ab, SPAN_BITS)), (lambda ab: F.shiftright(ab, SPAN_BITS) + F.col(ab).bitwiseAND(F.lit((1 << SPAN_BITS) - 1)))
+    whole = met.join(groups.filter("n > 1").select("h", "c", "d"), ["h", "c", "d"]).select("k", "l", begin("ab").alias("s"), (end("ab") + LEAST).alias("e"))
 
     unlike = cut(groups.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-    open_ = groups.join(unlike, "h").select("h", "n", (F.col("kinds") > gather).alias("many"), "first.*")
+    open_ = groups.join(unlike, "h").select("h", "n", (F.col("kinds") > gather).alias("many"), "first.k", "first.l", begin("first.ab").alias("a"), end("first.ab").alias("b"))
     wanted = open_.groupBy("k", "l").agg(F.collect_list(F.struct("h", "many", "n", "a", "b")).alias("wanted"))
     fetched = cut(rows.join(wanted, ["k", "l"]).dropDuplicates(["k", "l"]).mapInArrow(_fetch, "k long, l long, h long, many boolean, n long, a long, bytes binary"))
     few = fetched.filter("not many").groupBy("h").agg(F.collect_list(F.struct("k", "l", "a", "n", "bytes")).alias("group")).select("group")
@@ -286,8 +322,9 @@ def _by_blocks(segments: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, gather: int = GATHER) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row per row of docs; kept holds the remaining bytes.
 
-    Null texts are empty; texts below 200 bytes keep all.  Rows that repeat are copies of each other, so both lose all.
-    Other columns of docs are not read.
+    Null texts are empty; texts below 200 bytes keep all.  Rows that repeat are copies of each other, so both lose all.  Texts of any
+    length are cut into segments SLICE windows at a time, which changes nothing in the result.  There are no ties: a byte goes or
+    stays.  An empty table gives an empty table.  Other columns of docs are not read, so their names don't matter.
     """
     keyed = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("bytes"), F.xxhash64("doc_id", "text").alias("k"), F.xxhash64(F.lit("l"), "text", "doc_id").alias("l"))
     spans = repeated_spans(keyed.select("k", "l", "bytes"), gather)
