@@ -108,7 +108,7 @@ def calibration(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, weight) from all rows of one task, ROUNDS passes in order; hash 1 << BITS is the bias."""
+    """(hash, weight) from all rows of one task, ROUNDS passes in the order of their places; hash 1 << BITS is the bias."""
     table = [b for b in batches if b.num_rows]
     if not table:
         return
@@ -132,7 +132,9 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if min(held) < LEAST_HELD or min(np.bincount(labels[~fold], minlength=2)) == 0:
         fold[:] = False
     z, n = np.zeros(len(hashes)), np.zeros(len(hashes))
-    rows = [(feature[edge[i] : edge[i + 1]], float(labels[i])) for i in np.flatnonzero(~fold)]
+    order = np.lexsort((labels, place))
+    features = lambda i: feature[edge[i] : edge[i + 1]]
+    rows = [(features(i), float(labels[i])) for i in order[~fold[order]]]
     for _ in range(ROUNDS):
         for x, y in rows:
             zx, nx = z[x], n[x]
@@ -144,8 +146,8 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n[x] = grown
     weight = ftrl_weight(z, n)
     if fold.any():
-        margin = np.add.reduceat(weight[feature], edge[:-1])
-        scale, shift = calibration(margin[fold], labels[fold])
+        held_out = order[fold[order]]
+        scale, shift = calibration(np.array([weight[features(i)].sum() for i in held_out]), labels[held_out])
         if scale > 0:
             weight *= scale
             weight[number[1 << BITS]] += shift
@@ -167,7 +169,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.n
     order = F.xxhash64(F.lit("order"), "doc_id", "text").alias("place")
     dealt = rows.filter(place < F.lit(round(share * (1 << 20)))).select("text", "toxic", order)
     sample = cut(dealt.mapInArrow(_features, "features array<int>, toxic int, place long"))
-    found = sample.repartition(1).sortWithinPartitions("place", "toxic").mapInArrow(_learn, "hash long, weight double").toArrow()
+    found = sample.repartition(1).mapInArrow(_learn, "hash long, weight double").toArrow()
     hashes, weights = (found.column(k).to_numpy() for k in range(2))
     used = hashes < 1 << BITS
     return hashes[used], weights[used], float(weights[~used].sum())
