@@ -22,8 +22,8 @@ def clean(s: Column) -> Column:
 
 def strip_words(s: Column, words: list[str]) -> Column:
     """s without the words, wherever they come after the first word."""
-    head, tail = F.split(s, " ")[0], F.slice(F.split(s, " "), 2, 1000)
-    return F.concat_ws(" ", F.array(head), F.filter(tail, lambda w: ~w.isin(words)))
+    parts = F.split(s, " ")
+    return F.array_join(F.filter(parts, lambda w, i: (i == 0) | ~w.isin(words)), " ")
 
 
 def combination(s: Column) -> Column:
@@ -65,6 +65,50 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 def find_all(text: Column, value: str) -> Column:
     """Starts (0-based) of a literal in a text, case ignored, from left to right without overlap."""
-    parts = F.split(F.lower(text), f"\\Q{value.lower()}\\E", -1)
-    ends = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda acc, x: acc + F.length(x)) + i * len(value))
-    return F.slice(ends, 1, F.size(parts) - 1)
+    parts, n = F.split(F.lower(text), f"\\Q{value.lower()}\\E", -1), len(value)
+    none = F.array().cast("array<int>")
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p) + n).alias("at"), F.array_append(acc["starts"], acc["at"] + F.length(p)).alias("starts"))
+    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.struct(F.lit(0).alias("at"), none.alias("starts")), step, lambda acc: acc["starts"])
+
+
+def pattern_of(value: Column) -> Column:
+    """A pattern for a value as it may stand in a text: any white space between its words, no letter or digit beside it, case ignored."""
+    words = F.filter(F.split(value, r"\s+"), lambda w: w != "")
+    body = F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "\\s+")
+    edge = r"[A-Za-z0-9]"
+    return F.concat(
+        F.lit("(?i)"), F.when(F.left(value, F.lit(1)).rlike(edge), rf"(?<!{edge})").otherwise(""), body, F.when(F.right(value, F.lit(1)).rlike(edge), rf"(?!{edge})").otherwise("")
+    )
+
+
+def spans_of(text: Column, pattern: Column) -> Column:
+    """array<struct<s, e>>: leftmost matches of a pattern in a text, 0-based, end exclusive.
+
+    Functions return no positions, so the text is cut at its matches: lengths of what is between and of the matches add up to them.
+    """
+    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(F.regexp_replace(text, pattern, F.lit("\x00")), "\x00", -1)
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    step = lambda acc, x: F.struct(
+        (acc["at"] + F.length(x["b"]) + F.length(x["f"])).alias("at"),
+        F.array_append(acc["spans"], F.struct((acc["at"] + F.length(x["b"])).alias("s"), (acc["at"] + F.length(x["b"]) + F.length(x["f"])).alias("e"))).alias("spans"),
+    )
+    pairs = F.filter(F.arrays_zip(found.alias("f"), between.alias("b")), lambda x: x["f"].isNotNull())
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+
+
+def first_caps(s: Column) -> Column:
+    """s with a capital first letter."""
+    return F.concat(F.upper(F.left(s, F.lit(1))), F.substring(s, 2, 1 << 30))
+
+
+def initials(name: Column) -> Column:
+    """First letters of the first and last word, titles left out; ? without any."""
+    words = F.filter(F.split(name, r"\s+"), lambda w: (w != "") & ~F.lower(w).isin("dr", "dr.", "mr", "mrs", "ms", "prof", "prof."))
+    letters = F.concat(F.left(F.get(words, F.lit(0)), F.lit(1)), F.when(F.size(words) > 1, F.left(F.element_at(words, -1), F.lit(1))).otherwise(""))
+    return F.upper(F.when(F.size(words) == 0, "?").otherwise(letters))
+
+
+def line_at(text: Column, position: Column) -> Column:
+    """The line of a text around a 0-based position, trimmed."""
+    before = F.substring_index(F.left(text, position), "\n", -1)
+    return F.btrim(F.concat(before, F.substring_index(F.substring(text, position + 1, F.length(text)), "\n", 1)))

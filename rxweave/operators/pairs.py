@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Weights and thresholds of the risk model.
 SEVERITY_RANK = {"Major": 0, "Moderate": 1, "Minor": 2, "Unknown": 3}
 SEVERITY_WEIGHT = {"Major": 1.0, "Moderate": 0.6, "Minor": 0.3, "Unknown": 0.25}
@@ -36,6 +38,13 @@ def most_severe(graded: DataFrame) -> DataFrame:
     return graded.groupBy("a", "b").agg(F.min_by("severity", rank(F.col("severity"))).alias("severity"))
 
 
+def preferred_roots(components: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, root): the node of each component that is preferred, then has the shortest name, then the first one.  names has (node, name, preferred)."""
+    named = components.withColumnRenamed("root", "part").join(names, "node")
+    best = named.groupBy("part").agg(F.min_by("node", F.struct(~F.col("preferred"), F.length("name"), F.col("name"))).alias("root"))
+    return named.join(best, "part").select("node", "root")
+
+
 def template_severity(templates: DataFrame, graded: DataFrame) -> DataFrame:
     """A severity for each template from the graded pairs that carry it.
 
@@ -47,7 +56,7 @@ def template_severity(templates: DataFrame, graded: DataFrame) -> DataFrame:
     counted = both.groupBy("template").agg(F.count("*").alias("n_pairs"), F.count("severity").alias("n_graded"), *(share(k).alias(k) for k in ("Major", "Moderate", "Minor")))
     enough = F.col("n_graded") >= LEAST_GRADED
     level = (
-        F.when(enough & (F.col("Major") >= MAJORITY), "Major").when(enough & (F.col("Minor") > MAJORITY), "Minor").when(enough, "Moderate")
+        F.when(enough & (F.col("Major") >= MAJORITY), "Major").when(enough & (F.col("Minor") >= MAJORITY), "Minor").when(enough, "Moderate")
         .when((F.col("n_graded") >= 3) & (F.col("Major") >= FEW_MAJOR), "Major").otherwise("Moderate")
     )
     return counted.select("template", level.alias("derived_severity"), "n_pairs", "n_graded", F.round("Major", 6).alias("share_major"))
@@ -101,27 +110,37 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], strength: str)
     return both.select(*keys, "before", "after", kind.alias("kind"), weight.alias("risk"))
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root): the smallest node that each node of links (a, b) reaches; labels spread until none changes."""
-    both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node").checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("low"))
-        new = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "low").alias("root")).checkpoint()
-        if not new.join(labels.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count():
-            return new
-        labels = new
-    raise ValueError(f"labels still change after {rounds} rounds")
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of links (a, b), root the smallest node that it reaches.
+
+    Large-star and small-star steps in turn: each node links its neighbours to the smallest one around it.  The number of
+    rounds grows with the logarithm of the longest path, minima are aggregated before they are shuffled, and no node's links are gathered.
+    """
+    now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    mark = _mark(now)
+    while True:
+        now = written(_star(_star(now, True), False))
+        before, mark = mark, _mark(now)
+        if mark == before:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """links have a > b.  A node's larger neighbours (large) or its smaller ones and itself go to the smallest around it."""
+    one = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    both = one.union(links.select("b", "a")) if large else one
+    lowest = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
+    joined = both.join(lowest, "u")
+    out = (joined.filter("v > u") if large else joined).select(F.col("v").alias("a"), F.col("low").alias("b"))
+    return (out if large else out.union(lowest.select("u", "low"))).filter("a <> b").distinct()
+
+
+def _mark(links: DataFrame) -> tuple:
+    h = F.xxhash64("a", "b")
+    return tuple(links.agg(F.count("*"), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))), F.sum(F.shiftrightunsigned(h, 33))).first())
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest row of each key; pre-aggregated before it is shuffled, so keys may be hot."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("row")).select(*keys, "row.*")
-
-
-def chain_breaks(log: DataFrame, log_id: str, order: str, at: str) -> DataFrame:
-    """(log_id, n, first_bad): the first entry of each log whose time is before that of the entry before it."""
-    w = Window.partitionBy(log_id).orderBy(order)
-    bad = F.col(at) < F.lag(at).over(w)
-    return log.withColumn("bad", F.when(bad, F.col(order))).groupBy(log_id).agg(F.count("*").alias("n"), F.min("bad").alias("first_bad"))

@@ -17,17 +17,6 @@ def q_norm(spark, d):
     return table(spark, d, "part").select("p_partkey", S.norm(F.col("p_name")).alias("name"))
 
 
-@query("SELECT p_partkey, lower(p_name) AS cleaned FROM part")
-def q_clean(spark, d):
-    messy = F.concat(F.lit(" ("), "p_brand", F.lit(") "), "p_name", F.lit(", 50 mg [box] -"))
-    return table(spark, d, "part").select("p_partkey", S.clean(messy).alias("cleaned"))
-
-
-@query("SELECT p_partkey, split_part(p_name, ' ', 1) || CASE WHEN split_part(p_name, ' ', 2) IN ('', 'ring', 'gear') THEN '' ELSE ' ' || split_part(p_name, ' ', 2) END AS stripped FROM part")
-def q_strip_words(spark, d):
-    return table(spark, d, "part").select("p_partkey", S.strip_words(F.col("p_name"), ["ring", "gear"]).alias("stripped"))
-
-
 @query("SELECT a.p_partkey, trim(x) AS piece FROM part a, unnest(string_split(a.p_name || ' / ' || a.p_type || '+' || a.p_brand, '/')) AS s(y), unnest(string_split(y, '+')) AS t(z), unnest(string_split(z, '-')) AS u(x) WHERE trim(x) <> ''")
 def q_combination(spark, d):
     name = F.concat("p_name", F.lit(" / "), "p_type", F.lit("+"), "p_brand")
@@ -149,8 +138,3 @@ def q_tfidf_topk(spark, d):
     weights = T.tfidf(docs, "id", "terms")
     found = T.top_similar(weights, weights.withColumnRenamed("id", "query"), "id", 3)
     return found.select("query", "id", F.round("score", 5).alias("score"), "place")
-
-
-@query("SELECT p_type AS concept, min_by(p_name, (length(p_name), p_name)) AS alias, min(length(p_name)) AS n FROM part GROUP BY p_type")
-def q_shortest_alias(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_type").alias("concept")).agg(F.min_by("p_name", F.struct(F.length("p_name"), "p_name")).alias("alias"), F.min(F.length("p_name")).cast("long").alias("n"))
