@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop_folder, scratch, table
+from .files import open_file, write_file
 from .rolling import Rolling, mixed
 
 BITS = 24
@@ -27,6 +29,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 STEM = 5
 #: Texts are joined up to so many bytes before they are cut into words together.
 AT_ONCE = 1 << 20
+#: Rows of a file of features, and features that are counted together.
+ROWS_A_FILE, COUNTED = 1000, 2_000_000
 WORD_BYTE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
 
@@ -76,15 +80,39 @@ def ftrl_weight(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(features, toxic, place): each row's hashes, the bias last."""
-    hasher = Hasher()
+def _features(folder: str):
+    """(path, records): files with the label, the place and the hashes of each row, the bias last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, part, no = Hasher(), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS_A_FILE):
+                rows = batch.slice(i, ROWS_A_FILE)
+                text, feature = hasher(rows.column(0).to_pylist())
+                edge = np.searchsorted(text, np.arange(rows.num_rows + 1))
+                with_bias = np.insert(feature, edge[1:], 1 << BITS).astype("<i4")
+                arrays = (rows.column(1).to_numpy().astype("<i4"), rows.column(2).to_numpy().astype("<i8"), (np.diff(edge) + 1).astype("<i4"), with_bias)
+                path = write_file(folder, f"features-{part:06d}-{no:04d}", [np.array([rows.num_rows], "<i8").tobytes(), *(x.tobytes() for x in arrays)])
+                no += 1
+                yield pa.RecordBatch.from_pydict({"path": [path], "records": [rows.num_rows]})
+
+    return run
+
+
+def _loaded(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, places, edges, hashes) of all rows of the files (path, records); hashes are held once."""
+    labels, places, sizes, hashes = [np.zeros(0, "<i4")], [np.zeros(0, "<i8")], [np.zeros(0, "<i4")], bytearray()
     for batch in batches:
-        text, feature = hasher(batch.column(0).to_pylist())
-        edge = np.searchsorted(text, np.arange(batch.num_rows + 1))
-        with_bias = np.insert(feature, edge[1:], 1 << BITS).astype(np.int32)
-        offsets = pa.array((edge + np.arange(len(edge))).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(with_bias)), batch.column(1), batch.column(2)], ["features", "toxic", "place"])
+        for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            with open_file(path) as f:
+                (n,) = np.frombuffer(f.read(8), "<i8")
+                if n != records:
+                    raise ValueError(f"{path} has {n} rows of {records}")
+                for held, kind in ((labels, "<i4"), (places, "<i8"), (sizes, "<i4")):
+                    held.append(np.frombuffer(f.read(int(n) * np.dtype(kind).itemsize), kind))
+                hashes += f.read()
+    edge = np.concatenate(([0], np.concatenate(sizes).cumsum(dtype=np.int64)))
+    return np.concatenate(labels), np.concatenate(places), edge, np.frombuffer(hashes, "<i4")
 
 
 def calibration(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -109,24 +137,19 @@ def calibration(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, weight) from all rows of one task, ROUNDS passes in the order of their places; hash 1 << BITS is the bias."""
-    table = [b for b in batches if b.num_rows]
-    if not table:
+    labels, place, edge, feature = _loaded(batches)
+    if not len(labels):
         return
-    labels, place = (np.concatenate([b.column(k).to_numpy() for b in table]) for k in (1, 2))
-    edge = np.concatenate(([0], np.concatenate([np.diff(b.column(0).offsets.to_numpy()) for b in table]).cumsum(dtype=np.int64)))
-    feature = np.empty(edge[-1], np.int32)
-    # Batches go as they are copied, so that the features are held once.
-    at = 0
-    while table:
-        part = table.pop(0).column(0).flatten().to_numpy()
-        feature[at : at + len(part)] = part
-        at += len(part)
     # Hashes are numbered by how often they occur, so that what is read most lies together.
-    number = np.bincount(feature, minlength=(1 << BITS) + 1).astype(np.int32)
+    number = np.zeros((1 << BITS) + 1, np.int32)
+    for i in range(0, len(feature), COUNTED):
+        found, times = np.unique(feature[i : i + COUNTED], return_counts=True)
+        number[found] += times.astype(np.int32)
     hashes = np.flatnonzero(number)
     hashes = hashes[np.argsort(-number[hashes], kind="stable")]
     number[hashes] = np.arange(len(hashes), dtype=np.int32)
-    np.take(number, feature, out=feature, mode="clip")
+    for i in range(0, len(feature), COUNTED):
+        feature[i : i + COUNTED] = number[feature[i : i + COUNTED]]
     fold = place % FOLDS == 0
     held = np.bincount(labels[fold], minlength=2)
     if min(held) < LEAST_HELD or min(np.bincount(labels[~fold], minlength=2)) == 0:
@@ -158,7 +181,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """(hashes, weights, bias) from rows (doc_id, text, toxic); about fit_rows of them, chosen by a hash of doc_id, are used.
 
-    Features are hashed in parallel; then one task, bounded by fit_rows, goes over all rows, since sums of tasks that learn apart
+    Features are hashed in parallel and written to files in the shared folder; then one task, bounded by fit_rows, goes over all rows, since sums of tasks that learn apart
     and are averaged leave out what few rows show.  A fold of one in FOLDS is not learned from: scale and bias are set on it, so
     that 0.5 parts the classes, if it has LEAST_HELD rows of each.  What comes to the driver is as short as L1 makes it.  Rows
     without a label are left out.
@@ -168,8 +191,10 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.n
     place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20))
     order = F.xxhash64(F.lit("order"), "doc_id", "text").alias("place")
     dealt = rows.filter(place < F.lit(round(share * (1 << 20)))).select("text", "toxic", order)
-    sample = cut(dealt.mapInArrow(_features, "features array<int>, toxic int, place long"))
-    found = sample.repartition(1).mapInArrow(_learn, "hash long, weight double").toArrow()
+    folder = scratch(rows.sparkSession, "toxicity")
+    files = cut(dealt.mapInArrow(_features(folder), "path string, records int"))
+    found = files.repartition(1).mapInArrow(_learn, "hash long, weight double").toArrow()
+    drop_folder(rows.sparkSession, folder)
     hashes, weights = (found.column(k).to_numpy() for k in range(2))
     used = hashes < 1 << BITS
     return hashes[used], weights[used], float(weights[~used].sum())
