@@ -192,7 +192,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.n
     order = F.xxhash64(F.lit("order"), "doc_id", "text").alias("place")
     dealt = rows.filter(place < F.lit(round(share * (1 << 20)))).select("text", "toxic", order)
     folder = scratch(rows.sparkSession, "toxicity")
-    files = cut(dealt.mapInArrow(_features(folder), "path string, records int"))
+    files = cut(dealt.mapInArrow(_features(folder), "path string, records long"))
     found = files.repartition(1).mapInArrow(_learn, "hash long, weight double").toArrow()
     drop_folder(rows.sparkSession, folder)
     hashes, weights = (found.column(k).to_numpy() for k in range(2))
