@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.shared import new_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,3 +20,19 @@ def query(sql: str | None = None):
         return function
 
     return register
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A table built from the tables of a folder, written once a session and read by all queries that start from it.
+
+    The tables of a folder are taken not to change during a session.
+    """
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        path = new_folder(spark, name)
+        build(spark, folder).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

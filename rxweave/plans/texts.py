@@ -48,11 +48,6 @@ def q_line_offsets(spark, d):
     return note_lines(spark, d).select("doc_id", "line_no", "start", F.md5(F.col("line").cast("binary")).alias("line"))
 
 
-@query(f"WITH {SQL_LINES}, heads AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS nxt FROM lines WHERE length(line) BETWEEN 1 AND 20), sizes AS (SELECT doc_id, length(text) AS size FROM documents) SELECT doc_id, line AS title, CAST(start AS BIGINT) AS start, CAST(coalesce(nxt, size) AS BIGINT) AS \"end\" FROM heads JOIN sizes USING (doc_id)")
-def q_sections(spark, d):
-    return T.sections(note_lines(spark, d), F.length("line").between(1, 20), "doc_id").withColumn("end", F.col("end").cast("long"))
-
-
 @query(f"WITH {SQL_LINES} SELECT doc_id, CAST(line_no // 8 AS BIGINT) AS snippet, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM lines GROUP BY ALL")
 def q_line_snippets(spark, d):
     rows = note_lines(spark, d).groupBy("doc_id", F.floor(F.col("line_no") / 8).alias("snippet")).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))
@@ -76,12 +71,6 @@ def q_find_all(spark, d):
     return docs.select("doc_id", F.size("at").cast("long").alias("n"), F.get("at", F.lit(0)).cast("long").alias("first_at"))
 
 
-@query("SELECT doc_id, regexp_extract_all(text, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+')[1] AS first_value, CAST(len(regexp_extract_all(text, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+')")
-def q_attr_extract(spark, d):
-    found = F.regexp_extract_all("text", F.lit(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", F.get(found, F.lit(0)).alias("first_value"), F.size(found).cast("long").alias("n")).filter("n > 0")
-
-
 SQL_SPANS = "a AS (SELECT l_orderkey AS k, l_linenumber AS i, CAST(l_quantity AS INTEGER) AS s, CAST(l_quantity AS INTEGER) + l_linenumber * 2 AS e FROM lineitem)"
 
 
@@ -95,12 +84,6 @@ def q_overlap_join(spark, d):
     return T.overlaps(spans(spark, d), spans(spark, d, "2"), "k").filter("i < i2").select("k", "i", "i2")
 
 
-@query(f"WITH {SQL_SPANS} SELECT k, i FROM a x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE x.k = y.k AND y.i < x.i AND x.s < y.e AND y.s < x.e)")
-def q_overlap_antijoin(spark, d):
-    x, y = spans(spark, d).alias("x"), spans(spark, d, "2").alias("y")
-    return x.join(y, (F.col("x.k") == F.col("y.k")) & F.expr("i2 < i and s < e2 and s2 < e"), "left_anti").select("k", "i")
-
-
 @query(f"WITH {SQL_SPANS} SELECT k, i, s - coalesce(lag(e) OVER w, 0) AS gap_before, lead(s) OVER w AS next_start FROM a WINDOW w AS (PARTITION BY k ORDER BY s, i)")
 def q_neighbour_window(spark, d):
     from pyspark.sql import Window
@@ -109,23 +92,6 @@ def q_neighbour_window(spark, d):
     return spans(spark, d).select("k", "i", (F.col("s") - F.coalesce(F.lag("e").over(w), F.lit(0))).alias("gap_before"), F.lead("s").over(w).alias("next_start"))
 
 
-@query("SELECT doc_id, CAST(greatest(1, ceil((length(text) - 300) / 3700.0)) AS BIGINT) AS n, length(text) AS last_end FROM documents WHERE text IS NOT NULL")
-def q_chunk(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null").withColumn("c", T.chunks(F.length("text"), 4000, 300))
-    return docs.select("doc_id", F.size("c").cast("long").alias("n"), F.element_at("c", -1)["end"].cast("long").alias("last_end"))
-
-
-@query()
-def q_ngram_match(spark, d):
-    """Leftmost longest spans of words in a fixed vocabulary of names of up to two words; a fold within one text."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    one, two = ["idiot", "token", "with", "the"], ["of the", "the of", "and the"]
-    hit = lambda n, names: F.transform(F.filter(F.transform(T.ngrams(F.col("w"), n), lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x: x["g"].isin(names)), lambda x: F.struct(x["i"].alias("s"), (x["i"] + n).alias("e")))
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", words.alias("w"))
-    found = docs.select("doc_id", T.longest_matches(F.concat(hit(1, one), hit(2, two))).alias("m"))
-    return found.select("doc_id", F.size("m").alias("n"), F.aggregate("m", F.lit(0), lambda acc, x: acc + x["e"] - x["s"]).alias("words"))
-
-
 SQL_TFIDF = """t AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark),
 c AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY term),
 w AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)::DOUBLE) + 1) AS w FROM c JOIN df USING (term)),
