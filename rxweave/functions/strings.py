@@ -112,3 +112,9 @@ def line_at(text: Column, position: Column) -> Column:
     """The line of a text around a 0-based position, trimmed."""
     before = F.substring_index(F.left(text, position), "\n", -1)
     return F.btrim(F.concat(before, F.substring_index(F.substring(text, position + 1, F.length(text)), "\n", 1)))
+
+
+def with_prior(text: Column, prior: Column) -> Column:
+    """A note with the list known before it, under the header of one; blank lists add nothing."""
+    head = F.concat(F.lit("Medications on Admission:\n"), F.btrim(prior), F.lit("\n\n"), text)
+    return F.when(F.btrim(F.coalesce(prior, F.lit(""))) == "", text).otherwise(head)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checker, evaluation, knowledge, names, notes, review, texts  # noqa: F401  they register their queries
+from . import checker, evaluation, fields, knowledge, names, notes, review, texts  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "q_report"
