@@ -67,6 +67,20 @@ def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def trim_memory() -> None:
+    """Hand memory that a Python worker has freed back to the system: workers stay for later tasks, next to the executor's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder through Spark's own file systems."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sized
+from .common import cut, sized, trim_memory
 from .components import connected
 from .rolling import Rolling, mixed
 from .simhash import SEED, WIDTH, keep_first
@@ -34,7 +34,7 @@ SEGMENTS = 8
 BITS = SEGMENTS * WIDTH
 #: Shingles that are counted together, the count there from which one is reported, and how many are put last at most.  They set the
 #: order of shingles, and with it the work; the result is the same for any order.
-TOGETHER, OFTEN, LISTED = 4_000_000, 4, 200_000
+TOGETHER, OFTEN, LISTED = 1_000_000, 4, 200_000
 #: Members of a block, as expected.
 BLOCK = 512
 #: Bytes of text that are cut into words together.
@@ -143,6 +143,8 @@ def _often(words: int):
                         held, size = [], 0
                         seen.clear()
         yield counted()
+        held.clear()
+        trim_memory()
 
     return run
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_folder, scratch, table
+from .common import cut, drop_folder, scratch, table, trim_memory
 from .files import open_file, write_file
 
 END_ID = 1
@@ -29,6 +29,7 @@ MAGIC = b"RXTOKV1\n"
 FILE_IDS = 8_000_000
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 1_000_000
+SHARED = "rxweave encoder"
 #: Stems that are given to the tokenizer as one text.
 STEMS_AT_ONCE = 10_000
 #: Marks and symbols that may end a word; with Latin letters before, the tokenizer always cuts between the two.
@@ -67,16 +68,28 @@ class Encoder:
         #: Little-endian unsigned 32-bit ids.
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.remembered = REMEMBERED
 
     @classmethod
-    def shared(cls, path: str) -> Encoder:
+    def shared(cls, path: str, remembered: int = REMEMBERED) -> Encoder:
         """One a Python process: workers serve many tasks."""
         import sys
 
-        key = f"rxweave encoder {path}"
+        key = f"{SHARED} {path}"
         if not hasattr(sys, key):
             setattr(sys, key, cls(path))
-        return getattr(sys, key)
+        found = getattr(sys, key)
+        found.remembered = remembered
+        return found
+
+    @staticmethod
+    def forget() -> None:
+        """Give the memory of this process's encoders back, once all texts are tokenized."""
+        import sys
+
+        for key in [k for k in vars(sys) if k.startswith(SHARED)]:
+            delattr(sys, key)
+        trim_memory()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,7 +109,7 @@ class Encoder:
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words not seen before."""
-        if len(self.stems) > REMEMBERED:
+        if len(self.stems) > self.remembered:
             self.stems.clear()
         cuts, other = [], []
         for w in new:
@@ -119,7 +132,7 @@ class Encoder:
             known = self.words
             missing = [w for w in set().union(*split) if w not in known]
             found = self._learn(missing)
-            if len(known) + len(found) > REMEMBERED:
+            if len(known) + len(found) > self.remembered:
                 found |= {w: known[w] for w in set().union(*split) if w in known}
                 known = self.words = {}
             known |= found
@@ -127,11 +140,11 @@ class Encoder:
                 yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
 
-def _raw(folder: str, path: str):
+def _raw(folder: str, path: str, remembered: int):
     """Tokenize a partition into raw files; a manifest row for each."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = Encoder.shared(path), TaskContext.get().partitionId(), 0
+        encode, part, seq = Encoder.shared(path, remembered), TaskContext.get().partitionId(), 0
         docs, valid, sizes, ids, n = [], [], [], [], 0
 
         def flush():
@@ -173,6 +186,7 @@ def _read_raw(path: str):
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Encoder.forget()
     total = np.zeros(0, np.int64)
     for batch in batches:
         for path in batch.column(0).to_pylist():
@@ -208,6 +222,7 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 def _encoded(folder: str, rank_of: np.ndarray):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.forget()
         for batch in batches:
             for row in batch.to_pylist():
                 doc, valid, sizes, ids = _read_raw(row["path"])
@@ -236,6 +251,7 @@ def read_file(path: str, id_of: np.ndarray):
 
 def _digests(ranks_path: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.forget()
         with open_file(ranks_path) as f:
             id_of = np.frombuffer(f.read(), "<u4")
         for batch in batches:
@@ -251,18 +267,20 @@ def _digests(ranks_path: str):
     return read
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Write docs (doc_id, text) as token files into folder, in ascending doc_id order; a row (path, ranks_path) for each file.
 
     Null texts are empty and hold the end id alone; null doc_ids come first, equal doc_ids in order of their texts' hashes.
     Texts are dealt by ranges of doc_id, tokenized once and kept as raw files until the frequencies of all ids are known;
-    only the counts, a row for each id of the vocabulary at most, reach the driver.  Other columns are not read.
+    only the counts, a row for each id of the vocabulary at most, reach the driver.  remembered: words whose ids a worker keeps at
+    most, which sets its memory and nothing in the result.  Texts of any length are tokenized whole, repeated rows each for itself; an empty table
+    gives no file.  Other columns are not read.
     """
     spark = docs.sparkSession
     raw_folder = scratch(spark, "raw-ids")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("h"))
     dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    raw = cut(dealt.mapInArrow(_raw(raw_folder, path or vocabulary_path()), "part long, seq long, path string, docs long, ids long"))
+    raw = cut(dealt.mapInArrow(_raw(raw_folder, path or vocabulary_path(), remembered), "part long, seq long, path string, docs long, ids long"))
     files = _tasks(raw, "path")
     counted = files.select("path").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = np.array([r.id for r in counted.orderBy(F.desc("n"), "id").select("id").collect()], np.uint32)
@@ -291,9 +309,9 @@ def read_digests(written: DataFrame) -> DataFrame:
     return _tasks(written.select("path"), "path").mapInArrow(_digests(first.ranks_path), schema)
 
 
-def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
+def tokenize(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Write docs as token files below the shared folder and read them back."""
-    return read_digests(write_tokens(docs, scratch(docs.sparkSession, "ids"), path))
+    return read_digests(write_tokens(docs, scratch(docs.sparkSession, "ids"), path, remembered))
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_folder, scratch, table
+from .common import cut, drop_folder, scratch, table, trim_memory
 from .files import open_file, write_file
 from .rolling import Rolling, mixed
 
@@ -175,6 +175,8 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weight *= scale
             weight[number[1 << BITS]] += shift
     used = np.flatnonzero(weight)
+    del rows, feature, number, z, n
+    trim_memory()
     yield pa.RecordBatch.from_arrays([pa.array(hashes[used]), pa.array(weight[used])], ["hash", "weight"])
 
 
