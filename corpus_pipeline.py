@@ -8,6 +8,9 @@ from rxweave.llm import decontaminate, mixing, similar, tokens, toxicity
 from rxweave.llm.common import scratch, table
 
 
+REMEMBERED = 300_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; the model learns from the labelled ones that are not held out."""
     model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
@@ -15,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more, directly or over others."""
+    """One document of each group of near-duplicates: SimHashes of five-word shingles within the ring's budgets, similarity 0.8 or more."""
     return similar.keep_one(docs)
 
 
@@ -31,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files' digests, as read back from them."""
-    return tokens.tokenize(docs)
+    """The token files' digests, as read back from them; workers that earlier stages left memory in remember fewer words."""
+    return tokens.tokenize(docs, remembered=REMEMBERED)
 
 
 STAGES = [
