@@ -31,6 +31,11 @@ def combination(s: Column) -> Column:
     return F.filter(F.transform(F.split(s, r"[/+]|-| and | with "), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def alias_list(label: Column, aliases: Column) -> Column:
+    """The label and the aliases of a pipe-separated list, each normalised."""
+    return F.array_compact(F.concat(F.array(norm(label)), F.coalesce(F.transform(F.split(aliases, r"\|"), lambda a: norm(a)), F.array().cast("array<string>"))))
+
+
 def tidy(s: Column) -> Column:
     """Line ends as newlines, no blanks at line ends, one empty line at most, a newline at the end."""
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "\r\n?", "\n"), " ", " "), "[ \t]+\n", "\n")

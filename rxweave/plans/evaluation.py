@@ -78,27 +78,6 @@ def q_confusion(spark, d):
     return c.select("*", share(tp, tp + fp).alias("precision_"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-@query(f"""WITH {SQL_SCORES}, g AS (SELECT score, count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS n FROM s GROUP BY score),
-r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
-SELECT round(sum(p * (below + n / 2.0)) / (sum(p) * sum(n)), 6) AS auc FROM r""")
-def q_auc(spark, d):
-    """Area under the ROC curve from counts by distinct score, so that only those, and not the rows, are put in order."""
-    g = scores(spark, d).groupBy("score").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = g.withColumn("below", below)
-    return r.agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)) / (F.sum("p") * F.sum("n")), 6).alias("auc"))
-
-
-@query(f"""WITH {SQL_SCORES}, g AS (SELECT score, count(*) FILTER (toxic = 1) AS p, count(*) AS n FROM s GROUP BY score),
-r AS (SELECT score, sum(p) OVER w AS tp, sum(n) OVER w AS taken, sum(p) OVER () AS total FROM g WINDOW w AS (ORDER BY score DESC)),
-f AS (SELECT score, 2 * tp / (taken + total)::DOUBLE AS f1 FROM r) SELECT round(max(f1), 6) AS f1, max_by(score, (round(f1, 9), score)) AS threshold FROM f""")
-def q_best_threshold(spark, d):
-    g = scores(spark, d).groupBy("score").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.col("score").desc())
-    f1 = 2 * F.sum("p").over(w) / (F.sum("n").over(w) + F.sum("p").over(Window.partitionBy()))
-    return g.select("score", f1.alias("f1")).agg(F.round(F.max("f1"), 6).alias("f1"), F.max_by("score", F.struct(F.round("f1", 9), "score")).alias("threshold"))
-
-
 @query("""WITH g AS (SELECT source, count(*) AS n, count(*) FILTER (toxic = 1) AS hits FROM labels JOIN documents USING (doc_id) GROUP BY source), x AS (SELECT source, n, hits, hits / n::DOUBLE AS p FROM g)
 SELECT source, n, hits, round((p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 5) AS low,
   round((p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 5) AS high FROM x""")
@@ -121,27 +100,6 @@ def q_stratified_sample(spark, d):
     return table(spark, d, "labels").withColumn("place", place).filter("place <= 10").select("toxic", "doc_id")
 
 
-SQL_BOOT = f"""WITH {SQL_SCORES}, b AS (SELECT doc_id % 50 AS block, count(*) FILTER (toxic = 1 AND score >= 0.5) AS tp, count(*) FILTER ((toxic = 1) <> (score >= 0.5)) AS wrong FROM s GROUP BY ALL),
-k AS (SELECT row_number() OVER (ORDER BY block) - 1 AS i, * FROM b), n AS (SELECT count(*) AS n FROM b),
-draws AS (SELECT r, (('0x' || substr(md5('42:' || r || ':' || j), 1, 7))::BIGINT) % (SELECT n FROM n) AS i FROM range(200) x(r), range(50) y(j) WHERE j < (SELECT n FROM n)),
-f AS (SELECT r, 2 * sum(tp) / nullif(2 * sum(tp) + sum(wrong), 0)::DOUBLE AS f1 FROM draws JOIN k USING (i) GROUP BY r)
-SELECT round(quantile_cont(coalesce(f1, 0), 0.025), 5) AS low, round(quantile_cont(coalesce(f1, 0), 0.975), 5) AS high FROM f"""
-
-
-@query(SQL_BOOT)
-def q_bootstrap(spark, d):
-    """Interval of F1 over 200 resamples of 50 blocks of documents; draws come from a hash, so every engine draws alike."""
-    hit, real = F.col("score") >= 0.5, F.col("toxic") == 1
-    blocks = scores(spark, d).groupBy((F.col("doc_id") % 50).alias("block")).agg(F.count_if(hit & real).alias("tp"), F.count_if(hit != real).alias("wrong"))
-    numbered = blocks.withColumn("i", F.row_number().over(Window.orderBy("block")).cast("long") - 1)  # 50 rows at most
-    n = blocks.count()
-    draws = spark.range(200).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    key = F.md5(F.concat_ws(":", F.lit("42"), F.col("r").cast("string"), F.col("j").cast("string")).cast("binary"))
-    draws = draws.select("r", (F.conv(F.substring(key, 1, 7), 16, 10).cast("long") % n).alias("i"))
-    f1 = draws.join(F.broadcast(numbered), "i").groupBy("r").agg(F.coalesce(F.try_divide(2.0 * F.sum("tp"), 2 * F.sum("tp") + F.sum("wrong")), F.lit(0.0)).alias("f1"))
-    return f1.agg(F.round(F.percentile("f1", F.lit(0.025)), 5).alias("low"), F.round(F.percentile("f1", F.lit(0.975)), 5).alias("high"))
-
-
 @query(f"WITH {SQL_PAIRS}, t AS (SELECT DISTINCT a, b FROM raw WHERE source = 'O'), s AS (SELECT DISTINCT a, b FROM raw WHERE source = 'F') SELECT a, b FROM s WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.a = s.a AND t.b = s.b)")
 def q_anti_pairs(spark, d):
     raw = raw_pairs(spark, d)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from ..operators import logs as G
 from ..operators import pairs as P
+from ..operators.shared import written
 from ..sources.tables import table
 from .registry import query
 
@@ -30,9 +32,57 @@ def q_latest_decision(spark, d):
     return P.latest(log(spark, d).select("reviewer", "finding", "id", "action", "tier"), ["reviewer", "finding"], "id")
 
 
-@query(f"WITH {SQL_LOG}, x AS (SELECT reviewer, id, ts < lag(ts) OVER (PARTITION BY reviewer ORDER BY id) AS bad FROM log) SELECT reviewer, count(*) AS n, min(id) FILTER (bad) AS first_bad FROM x GROUP BY reviewer")
+def signed_log(spark, d) -> DataFrame:
+    """Each reviewer's log, signed; entries whose reason is 5 were changed afterwards."""
+    entries = log(spark, d).withColumn("payload", G.canonical({"action": F.col("action"), "finding": F.col("finding"), "tier": F.col("tier")}))
+    made = G.signed(entries.select(F.col("reviewer").alias("log"), "id", "ts", "payload"))
+    return made.withColumn("payload", F.regexp_replace("payload", '"finding": "5"', '"finding": "6"'))
+
+
+@query(f"WITH {SQL_LOG}, x AS (SELECT reviewer, id, ts < lag(ts) OVER (PARTITION BY reviewer ORDER BY id) OR finding = 5 AS bad FROM log) SELECT reviewer, count(*) AS n, min(id) FILTER (bad) AS first_bad FROM x GROUP BY reviewer")
 def q_chain_verify(spark, d):
-    return P.chain_breaks(log(spark, d), "reviewer", "id", "ts")
+    """Every hash is computed anew and held against the next entry's, and times against those before."""
+    return G.verified(signed_log(spark, d)).select(F.col("log").alias("reviewer"), "n", "first_bad")
+
+
+@query(f"""WITH {SQL_LOG}, n AS (SELECT reviewer, count(*) AS n, max(id) AS last FROM log GROUP BY reviewer), b AS (SELECT reviewer, min(id) AS bad FROM (SELECT reviewer, id, ts < lag(ts) OVER (PARTITION BY reviewer ORDER BY id) AS wrong FROM log) WHERE wrong GROUP BY reviewer)
+SELECT reviewer, n - 1 AS n, CASE WHEN bad < last THEN bad ELSE (SELECT max(l.id) FROM log l WHERE l.reviewer = n.reviewer AND l.id < last) + 1 END AS first_bad FROM n LEFT JOIN b USING (reviewer) WHERE n > 1""")
+def q_chain_cut(spark, d):
+    """Logs without their last entry: the chain holds, but the anchor kept beside it tells."""
+    entries = log(spark, d).withColumn("payload", G.canonical({"action": F.col("action")}))
+    whole = written(G.signed(entries.select(F.col("reviewer").alias("log"), "id", "ts", "payload")))
+    last = whole.groupBy("log").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    kept = whole.join(last.select("log", "last"), "log").filter("id < last").select(*whole.columns)
+    return G.verified(kept, G.heads(whole).join(last.select("log"), "log")).select(F.col("log").alias("reviewer"), "n", "first_bad")
+
+
+@query(f"WITH {SQL_LOG}, c AS (SELECT min(reviewer) AS reviewer FROM log) SELECT reviewer, id, action, CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS place FROM log JOIN c USING (reviewer)")
+def q_log_filter(spark, d):
+    """The entries of one case, the first of all in order, by number."""
+    rows = log(spark, d)
+    case = rows.select("reviewer").distinct().orderBy("reviewer").limit(1)  # a picker's choice
+    place = F.row_number().over(Window.partitionBy("reviewer").orderBy("id"))
+    return rows.join(F.broadcast(case), "reviewer").select("reviewer", "id", "action", place.alias("place"))
+
+
+@query("SELECT user_id, max(event_id) AS id, max_by(event_type, event_id) AS kind FROM events GROUP BY user_id")
+def q_latest_by(spark, d):
+    e = table(spark, d, "events")
+    return P.latest(e.select("user_id", F.col("event_id").alias("id"), F.col("event_type").alias("kind")), ["user_id"], "id")
+
+
+@query(f"WITH {SQL_LOG} SELECT id, CASE WHEN action = 'override' AND finding % 5 = 0 THEN 'an override needs a reason' WHEN action = 'override' AND finding % 5 = 1 THEN 'the reason ''other'' needs a comment' ELSE '' END AS why FROM log")
+def q_refused(spark, d):
+    """Decisions that a log would not take: overrides without a reason, or with other and no comment."""
+    reason = F.when(F.col("finding") % 5 == 0, F.lit(None)).when(F.col("finding") % 5 == 1, "other").otherwise("already_managed")
+    why = G.refused(F.col("action"), F.col("reviewer").cast("string"), reason, F.lit(" "))
+    return log(spark, d).select("id", F.coalesce(why, F.lit("")).alias("why"))
+
+
+@query(f"WITH {SQL_LOG} SELECT id, CAST(row_number() OVER (ORDER BY id DESC) AS INTEGER) AS place FROM log ORDER BY id DESC LIMIT 25")
+def q_recent(spark, d):
+    newest = log(spark, d).select("id").orderBy(F.desc("id")).limit(25)  # the limit is the feature
+    return newest.agg(F.reverse(F.array_sort(F.collect_list("id"))).alias("x")).select(F.posexplode("x").alias("i", "id")).select("id", (F.col("i") + 1).alias("place"))
 
 
 @query(f"""WITH {SQL_LOG} SELECT reviewer, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n,
@@ -83,12 +133,15 @@ def q_log_state(spark, d):
     return log(spark, d).agg(F.count("*").alias("n"), F.max("id").alias("last_id"), F.sha2(newest.cast("binary"), 256).alias("last_hash"))
 
 
-@query(f"""WITH {SQL_LOG}, f AS (SELECT DISTINCT reviewer, finding FROM log), l AS (SELECT reviewer, finding, max_by(action, id) AS action FROM log GROUP BY ALL)
-SELECT reviewer, count(*) AS findings, count(*) FILTER (action = 'confirm') AS decided, round(count(*) FILTER (action = 'confirm') / count(*)::DOUBLE, 6) AS share FROM f JOIN l USING (reviewer, finding) GROUP BY reviewer""")
+@query(f"""WITH {SQL_LOG}, l AS (SELECT reviewer, finding, max_by(action, id) AS action, max_by(tier, id) AS tier FROM log GROUP BY ALL)
+SELECT reviewer, count(*) AS findings, count(*) FILTER (tier IN ('critical', 'review')) AS actionable, count(*) FILTER (tier IN ('critical', 'review') AND action = 'confirm') AS decided,
+  coalesce(CAST(round(100 * count(*) FILTER (tier IN ('critical', 'review') AND action = 'confirm') / nullif(count(*) FILTER (tier IN ('critical', 'review')), 0)::DOUBLE) AS INTEGER), 100) AS percent FROM l GROUP BY reviewer""")
 def q_pending(spark, d):
-    latest = P.latest(log(spark, d).select("reviewer", "finding", "id", "action"), ["reviewer", "finding"], "id")
-    done = F.count_if(F.col("action") == "confirm")
-    return latest.groupBy("reviewer").agg(F.count("*").alias("findings"), done.alias("decided"), F.round(done / F.count("*"), 6).alias("share"))
+    """How far the review is: decided findings of those that need a decision; 100 where none does."""
+    latest = P.latest(log(spark, d).select("reviewer", "finding", "id", "action", "tier"), ["reviewer", "finding"], "id")
+    act = F.col("tier").isin("critical", "review")
+    counted = latest.groupBy("reviewer").agg(F.count("*").alias("findings"), F.count_if(act).alias("actionable"), F.count_if(act & (F.col("action") == "confirm")).alias("decided"))
+    return counted.withColumn("percent", F.coalesce(F.round(F.try_divide(100.0 * F.col("decided"), F.col("actionable"))).cast("int"), F.lit(100)))
 
 
 @query("SELECT event_id, CASE WHEN left(v, 1) IN ('=', '+', '-', '@') THEN '''' || v ELSE v END AS cell FROM (SELECT event_id, substr('=+-@ab', CAST(event_id % 6 AS INTEGER) + 1, 1) || event_type AS v FROM events)")

@@ -13,14 +13,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def graded_files(spark: SparkSession, pattern: str, code: str = r"_([A-Z])\.csv$") -> DataFrame:
-    """All files of a pattern as one table; the class code comes from the file name, ids are put in order with their names."""
+    """All files of a pattern as one table; the class code comes from the file's path, ids are put in order with their names."""
     rows = spark.read.schema(GRADED).option("header", True).csv(pattern)
-    rows = rows.withColumn("code", F.regexp_extract(F.col("_metadata.file_name"), code, 1))
+    rows = rows.withColumn("code", F.regexp_extract(F.col("_metadata.file_path"), code, 1))
     swap = F.col("id_a") > F.col("id_b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
     return rows.select(pick("id_a", "id_b"), pick("drug_a", "drug_b"), pick("id_b", "id_a"), pick("drug_b", "drug_a"), "level", "code")
 
 
+def split_files(spark: SparkSession, folder: str, schema: str, **parts: str) -> DataFrame:
+    """Rows of CSV files in a layout of folders setting=/fold=, of the parts asked for; other folders are not read."""
+    rows = spark.read.schema(", ".join([schema, *(f"{k} string" for k in parts)])).option("header", True).csv(folder)
+    for k, v in parts.items():
+        rows = rows.filter(F.col(k) == v)
+    return rows.drop(*parts)
+
+
 def prescriptions(spark: SparkSession, path: str) -> DataFrame:
     """Typed prescriptions; name is the generic name, or else the name, trimmed."""
     kinds = "subject_id int, hadm_id int, startdate timestamp, enddate timestamp, drug string, drug_name_generic string, route string"
