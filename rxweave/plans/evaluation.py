@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings as S
 from ..operators import graph as G
+from ..operators.shared import written
 from ..sources.tables import table
 from .knowledge import SQL_PAIRS, raw_pairs
 from .registry import query
@@ -28,10 +29,12 @@ c AS (SELECT q.a, q.b, count(*) AS common, sum(CASE WHEN deg.d > 1 THEN 1 / ln(d
 f AS (SELECT q.a, q.b, coalesce(da.d, 0) - (l.a IS NOT NULL)::INT AS da, coalesce(db.d, 0) - (l.a IS NOT NULL)::INT AS db, coalesce(c.common, 0) AS common, adamic, allocation
   FROM q LEFT JOIN c USING (a, b) LEFT JOIN links l USING (a, b) LEFT JOIN deg da ON da.u = q.a LEFT JOIN deg db ON db.u = q.b)
 SELECT a, b, CAST(da AS BIGINT) AS degree_a, CAST(db AS BIGINT) AS degree_b, common, round(coalesce(common / nullif(da + db - common, 0)::DOUBLE, 0), 6) AS jaccard, round(coalesce(adamic, 0), 6) AS adamic,
-  round(coalesce(allocation, 0), 6) AS allocation, CAST(da * db AS BIGINT) AS preferential FROM f""")
+  round(coalesce(allocation, 0), 6) AS allocation, CAST(da * db AS BIGINT) AS preferential, CAST(least(da, db) AS BIGINT) AS degree_min, CAST(greatest(da, db) AS BIGINT) AS degree_max, round(coalesce(2 * common / nullif(da + db, 0)::DOUBLE, 0), 6) AS sorensen,
+  round(coalesce(common / nullif(least(da, db), 0)::DOUBLE, 0), 6) AS hub_promoted, round(coalesce(common / nullif(greatest(da, db), 0)::DOUBLE, 0), 6) AS hub_depressed FROM f""")
 def q_graph_features(spark, d):
-    pairs = raw_pairs(spark, d).filter("source = 'F'").select("a", "b").distinct()
-    return G.link_features(G.adjacency(links(spark, d)), pairs)
+    raw = raw_pairs(spark, d)
+    one = lambda source: raw.filter(F.col("source") == source).select("a", "b").distinct()
+    return G.link_features(written(G.adjacency(one("O"))), one("F"))
 
 
 @query(f"""WITH {SQL_PAIRS}, links AS (SELECT DISTINCT a, b FROM raw WHERE source = 'O'),
@@ -103,13 +106,18 @@ def q_stratified_sample(spark, d):
 @query(f"WITH {SQL_PAIRS}, t AS (SELECT DISTINCT a, b FROM raw WHERE source = 'O'), s AS (SELECT DISTINCT a, b FROM raw WHERE source = 'F') SELECT a, b FROM s WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.a = s.a AND t.b = s.b)")
 def q_anti_pairs(spark, d):
     raw = raw_pairs(spark, d)
-    return raw.filter("source = 'F'").select("a", "b").distinct().join(links(spark, d), ["a", "b"], "left_anti")
+    one = lambda source: raw.filter(F.col("source") == source).select("a", "b").distinct()
+    return one("F").join(one("O"), ["a", "b"], "left_anti")
 
 
-@query(f"WITH {SQL_PAIRS}, g AS (SELECT DISTINCT a, b FROM raw WHERE source = 'O'), p AS (SELECT DISTINCT a, b FROM raw WHERE source = 'F') SELECT count(*) FILTER (g.a IS NOT NULL AND p.a IS NOT NULL) AS tp, count(*) FILTER (p.a IS NULL) AS missed, count(*) FILTER (g.a IS NULL) AS extra FROM g FULL JOIN p ON g.a = p.a AND g.b = p.b")
+@query(f"WITH {SQL_PAIRS}, g AS (SELECT DISTINCT a, b FROM raw WHERE source = 'O'), p AS (SELECT DISTINCT a, b FROM raw WHERE source = 'F') , c AS (SELECT count(*) FILTER (g.a IS NOT NULL AND p.a IS NOT NULL) AS tp, count(*) FILTER (p.a IS NULL) AS missed, count(*) FILTER (g.a IS NULL) AS extra FROM g FULL JOIN p ON g.a = p.a AND g.b = p.b) SELECT *, round(tp / nullif(tp + extra, 0)::DOUBLE, 6) AS precision_, round(tp / nullif(tp + missed, 0)::DOUBLE, 6) AS recall, round((tp + extra) / (SELECT count(DISTINCT list_id) FROM raw WHERE source = 'F')::DOUBLE, 6) AS per_list FROM c")
 def q_alert_eval(spark, d):
     raw = raw_pairs(spark, d)
-    gold = links(spark, d).withColumn("g", F.lit(True))
+    gold = raw.filter("source = 'O'").select("a", "b").distinct().withColumn("g", F.lit(True))
     found = raw.filter("source = 'F'").select("a", "b").distinct().withColumn("p", F.lit(True))
     both = gold.join(found, ["a", "b"], "full_outer")
-    return both.agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count_if(F.col("p").isNull()).alias("missed"), F.count_if(F.col("g").isNull()).alias("extra"))
+    c = both.agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count_if(F.col("p").isNull()).alias("missed"), F.count_if(F.col("g").isNull()).alias("extra"))
+    lists = raw.filter("source = 'F'").agg(F.count_distinct("list_id").alias("lists"))
+    share = lambda x, y: F.round(F.try_divide(x.cast("double"), y), 6)
+    tp, found = F.col("tp"), F.col("tp") + F.col("extra")
+    return c.join(lists).select("tp", "missed", "extra", share(tp, found).alias("precision_"), share(tp, tp + F.col("missed")).alias("recall"), share(found, F.col("lists")).alias("per_list"))  # one row each

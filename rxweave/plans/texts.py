@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings as S
 from ..operators import text as T
+from ..operators.shared import written
 from ..sources.tables import table
 from .registry import query
 
@@ -48,29 +49,6 @@ def q_line_offsets(spark, d):
     return note_lines(spark, d).select("doc_id", "line_no", "start", F.md5(F.col("line").cast("binary")).alias("line"))
 
 
-@query(f"WITH {SQL_LINES} SELECT doc_id, CAST(line_no // 8 AS BIGINT) AS snippet, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM lines GROUP BY ALL")
-def q_line_snippets(spark, d):
-    rows = note_lines(spark, d).groupBy("doc_id", F.floor(F.col("line_no") / 8).alias("snippet")).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))
-    return rows.select("doc_id", "snippet", F.size("x").cast("long").alias("n"), F.md5(F.array_join(F.transform("x", lambda r: r["line"]), "\n").cast("binary")).alias("digest"))
-
-
-@query(f"WITH {SQL_LINES} SELECT doc_id, round(avg(CASE WHEN contains(line, ' | ') THEN 1.0 ELSE 0.0 END), 6) AS score FROM lines GROUP BY doc_id")
-def q_list_score(spark, d):
-    return note_lines(spark, d).groupBy("doc_id").agg(F.round(F.avg(F.contains("line", F.lit(" | ")).cast("double")), 6).alias("score"))
-
-
-@query("SELECT doc_id, count(*) AS n_tokens, count(DISTINCT lower(t)) AS n_kinds FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS t FROM documents) GROUP BY doc_id")
-def q_tokens(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("t"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct(F.lower("t")).alias("n_kinds"))
-
-
-@query("""SELECT doc_id, len(s) - 1 AS n, CASE WHEN len(s) > 1 THEN CAST(length(s[1]) AS BIGINT) END AS first_at FROM (SELECT doc_id, string_split(lower(text), ' and ') AS s FROM documents WHERE text IS NOT NULL)""")
-def q_find_all(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null").withColumn("at", S.find_all(F.col("text"), " and "))
-    return docs.select("doc_id", F.size("at").cast("long").alias("n"), F.get("at", F.lit(0)).cast("long").alias("first_at"))
-
-
 SQL_SPANS = "a AS (SELECT l_orderkey AS k, l_linenumber AS i, CAST(l_quantity AS INTEGER) AS s, CAST(l_quantity AS INTEGER) + l_linenumber * 2 AS e FROM lineitem)"
 
 
@@ -92,15 +70,58 @@ def q_neighbour_window(spark, d):
     return spans(spark, d).select("k", "i", (F.col("s") - F.coalesce(F.lag("e").over(w), F.lit(0))).alias("gap_before"), F.lead("s").over(w).alias("next_start"))
 
 
-SQL_TFIDF = """t AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark),
-c AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY term),
-w AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)::DOUBLE) + 1) AS w FROM c JOIN df USING (term)),
-n AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w)"""
+@query(f"WITH {SQL_LINES} SELECT doc_id, CAST(line_no // 8 AS BIGINT) AS snippet, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM lines GROUP BY ALL")
+def q_line_snippets(spark, d):
+    """Groups of eight lines, cut in the row."""
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.split("text", "\n", -1).alias("x"))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / 8)), lambda i: F.slice("x", (i * 8 + 1).cast("int"), 8))
+    return docs.select("doc_id", F.posexplode(groups).alias("snippet", "g")).select("doc_id", F.col("snippet").cast("long"), F.size("g").cast("long").alias("n"), F.md5(F.array_join("g", "\n").cast("binary")).alias("digest"))
+
+
+# Fixed value: what makes a line look like an item of a list.
+LISTY = r"(?i)^\s*(\d{1,2}[.)]|[-*•])\s|\b\d+(\.\d+)?\s?(mg|mcg|g|units?|ml|meq)\b|\bsig:|\b(q\d+h|bid|tid|qid|qhs|prn|daily)\b|^[A-Za-z ]{2,30}:\s*\S"
+SQL_LISTY = LISTY.replace("'", "''")
+
+
+@query(f"WITH {SQL_LINES}, s AS (SELECT doc_id, round(coalesce(avg(regexp_matches(line, '{SQL_LISTY}')::INT) FILTER (regexp_matches(line, '[^\\s]')), 1.0), 6) AS score FROM lines GROUP BY doc_id) SELECT doc_id, score, score >= 0.5 AS is_list FROM s")
+def q_list_score(spark, d):
+    """How much of a text looks like a list, and whether it is one: such chunks go past the language model."""
+    docs = table(spark, d, "documents").filter("text is not null")
+    full = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\s]"))
+    hits = F.size(F.filter(full, lambda x: x.rlike(LISTY)))
+    score = F.round(F.coalesce(F.try_divide(hits.cast("double"), F.size(full)), F.lit(1.0)), 6)
+    return docs.select("doc_id", score.alias("score")).withColumn("is_list", F.col("score") >= 0.5)
+
+
+@query("SELECT doc_id, len(t) AS n_tokens, len(list_distinct(list_transform(t, lambda x: lower(x)))) AS n_kinds FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS t FROM documents) WHERE len(t) > 0")
+def q_tokens(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("t")).filter(F.size("t") > 0)
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct(F.transform("t", lambda x: F.lower(x)))).cast("long").alias("n_kinds"))
+
+
+@query("""WITH p AS (SELECT doc_id, ' ' || lower(text) || ' ' AS t FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, t, regexp_extract(t, '[^a-z0-9]and\\s+the[^a-z0-9]') AS hit, regexp_replace(t, '([^a-z0-9])', '\\1\\1', 'g') AS wide FROM p)
+SELECT doc_id, CAST(len(regexp_split_to_array(wide, '[^a-z0-9]and\\s+the[^a-z0-9]')) - 1 AS BIGINT) AS n, CASE WHEN hit <> '' THEN CAST(strpos(t, hit) AS BIGINT) - 1 END AS first_at FROM x""")
+def q_find_all(spark, d):
+    """Places of a value, whatever white space its words have between them, with no letter or digit beside it."""
+    docs = table(spark, d, "documents").filter("text is not null").withColumn("at", S.spans_of(F.col("text"), S.pattern_of(F.lit("and the"))))
+    return docs.select("doc_id", F.size("at").cast("long").alias("n"), F.get("at", F.lit(0))["s"].cast("long").alias("first_at"))
+
+
+SQL_TFIDF = f"""{SQL_LINES}, sn AS MATERIALIZED (SELECT doc_id, line_no // 8 AS snippet, lower(string_agg(line, chr(10) ORDER BY line_no)) AS text FROM lines GROUP BY ALL),
+w AS MATERIALIZED (SELECT doc_id, snippet, regexp_extract_all(text, '[a-zà-ÿ0-9_]{{2,}}') AS ws FROM sn),
+t AS (SELECT doc_id, snippet, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w),
+c AS MATERIALIZED (SELECT doc_id, snippet, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY term HAVING count(*) >= 2),
+x AS (SELECT doc_id, snippet, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM sn)) / (1 + df)::DOUBLE) + 1) AS w FROM c JOIN df USING (term)),
+n AS MATERIALIZED (SELECT doc_id, snippet, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, snippet)) AS weight FROM x)"""
 
 
-@query(f"WITH {SQL_TFIDF}, s AS (SELECT q.id AS query, n.id, sum(q.weight * n.weight) AS score FROM n q JOIN n USING (term) WHERE q.id <> n.id GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS place FROM s) SELECT query, id, round(score, 5) AS score, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3")
+@query(f"""WITH {SQL_TFIDF}, s AS (SELECT q.doc_id AS q_doc_id, q.snippet AS q_snippet, n.doc_id, n.snippet, sum(q.weight * n.weight) AS score FROM n q JOIN n USING (term) WHERE q.doc_id % 20 = 0 AND (q.doc_id <> n.doc_id OR q.snippet <> n.snippet) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_doc_id, q_snippet ORDER BY round(score, 9) DESC, doc_id, snippet) AS place FROM s WHERE score > 0) SELECT q_doc_id, q_snippet, CAST(place AS INTEGER) AS place, round(score, 5) AS score FROM r WHERE place <= 3""")
 def q_tfidf_topk(spark, d):
-    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("terms"))
-    weights = T.tfidf(docs, "id", "terms")
-    found = T.top_similar(weights, weights.withColumnRenamed("id", "query"), "id", 3)
-    return found.select("query", "id", F.round("score", 5).alias("score"), "place")
+    """The three snippets most like each one of the documents whose number is divisible by 20, among those of all documents."""
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.split("text", "\n", -1).alias("x"))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / 8)), lambda i: F.array_join(F.slice("x", (i * 8 + 1).cast("int"), 8), "\n"))
+    snippets = docs.select("doc_id", F.posexplode(groups).alias("snippet", "text")).select("doc_id", F.col("snippet").cast("long").alias("snippet"), T.word_runs(F.col("text")).alias("terms"))
+    weights = written(T.tfidf(snippets, ["doc_id", "snippet"], "terms"))
+    asked = weights.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("q_doc_id"), F.col("snippet").alias("q_snippet"), "term", F.col("weight").alias("q"))
+    return T.top_similar(weights, asked, ["doc_id", "snippet"], 3).select("q_doc_id", "q_snippet", "place", F.round("score", 5).alias("score"))
