@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import names as FN
 from ..functions import strings as S
 from ..operators import fusion as U
+from ..operators import grounding as G
 from ..operators import notes as T
 from ..operators.shared import written
 from ..sources.tables import table
@@ -279,3 +280,32 @@ def q_overlap_antijoin(spark, d):
     q, line = F.col("l_quantity").cast("int"), F.col("l_linenumber")
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("note_id"), (line * 100_000_000 + F.col("l_partkey")).cast("long").alias("rank"), q.alias("s"), (q + line * 2).cast("int").alias("e"))
     return T.add_apart(rows).select(F.col("note_id").alias("k"), F.col("rank").alias("r"), "s", "e")
+
+
+def raw_rows(spark, d) -> DataFrame:
+    """(note_id, no, chunk_s, chunk_e, drug, values, status): what a language model might give for each note's list on admission.
+
+    Strength and dosage are in each other's fields, and every note has a row for a drug that it never names.
+    """
+    found = mentions(spark, d).filter("section = 'admission'")
+    line = S.line_at(F.col("text"), F.col("s"))
+    values = F.create_map(F.lit("strength"), F.lit("One (1)"), F.lit("dosage"), F.regexp_extract(line, "([0-9]+ mg)", 1), F.lit("form"), F.lit("tablet"), F.lit("route"), F.lit("po"), F.lit("frequency"), F.lit("BID"), F.lit("duration"), F.lit("for 99 weeks"))
+    kind = "note_id long, no long, chunk_s int, chunk_e int, drug string, values map<string,string>, status string"
+    rows = found.select("note_id", F.col("s").cast("long").alias("no"), F.lit(0).alias("chunk_s"), F.length("text").alias("chunk_e"), F.concat(F.upper("name"), F.lit(" ,")).alias("drug"), values.alias("values"), F.lit("Active").alias("status"))
+    made_up = notes(spark, d).select("note_id", F.lit(-1).cast("long").alias("no"), F.lit(0).alias("chunk_s"), F.length("text").alias("chunk_e"), F.lit("Inventocillin").alias("drug"), F.create_map(F.lit("route"), F.lit("PO")).alias("values"), F.lit("").alias("status"))
+    return rows.unionByName(made_up).select(*(c.split(" ")[0] for c in kind.split(", ")))
+
+
+@query(SQL_ATTRIBUTES + " SELECT attr.note_id, lower(kind) AS kind, value, CAST(attr.s AS INTEGER) AS s FROM attr JOIN sp USING (note_id, t) WHERE place = 'admission'")
+def q_ground(spark, d):
+    """Values of the rows where the notes have them; values that they lack and drugs that they never name are dropped."""
+    rows = notes(spark, d)
+    _, values = G.ground(raw_rows(spark, d), rows, vocabulary(spark, d))
+    return values.select("note_id", "kind", "value", "s")
+
+
+@query(f"WITH {SQL_NOTES}, a AS (SELECT DISTINCT note_id, nm FROM found WHERE place = 'admission') SELECT f.note_id, CAST(s AS INTEGER) AS s, CASE place WHEN 'admission' THEN 'llm' ELSE 'propagated' END AS source FROM found f JOIN a USING (note_id, nm) UNION ALL SELECT n.note_id, CAST(strpos(text, 'PERTINENT RESULTS:') + 18 AS INTEGER), 'propagated' FROM notes n JOIN (SELECT note_id, min_by(nm, k) AS nm FROM said GROUP BY note_id) USING (note_id) JOIN a USING (note_id, nm)")
+def q_ground_mentions(spark, d):
+    """Every place of a grounded name: the anchors of rows, and all others."""
+    found, _ = G.ground(raw_rows(spark, d), notes(spark, d), vocabulary(spark, d))
+    return found.select("note_id", "s", "source")
