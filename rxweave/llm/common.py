@@ -67,6 +67,13 @@ def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def lean_memory() -> None:
+    """Let this Python worker's Arrow batches go back to the system as soon as they are freed; to be called as a task begins."""
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def trim_memory() -> None:
     """Hand memory that a Python worker has freed back to the system: workers stay for later tasks, next to the executor's heap."""
     import ctypes

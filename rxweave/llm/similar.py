@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sized, trim_memory
+from .common import cut, lean_memory, sized, trim_memory
 from .components import connected
 from .rolling import Rolling, mixed
 from .simhash import SEED, WIDTH, keep_first
@@ -123,6 +123,7 @@ def _often(words: int):
     """(s, times): shingles that many different texts of a task have, counted over all of its texts, a bounded number of shingles at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         shingler, held, size, seen = Shingler(words), [], 0, set()
 
         def counted() -> pa.RecordBatch:
@@ -177,6 +178,7 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: F
 
 def _described(words: int, common: tuple[np.ndarray, np.ndarray], least: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         shingler, seen = Shingler(words), set()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -300,6 +302,7 @@ def _across(least: Fraction, most: int):
 
 def _shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         shingler, seen = Shingler(words), set()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_folder, scratch, table, trim_memory
+from .common import cut, drop_folder, lean_memory, scratch, table, trim_memory
 from .files import open_file, write_file
 
 END_ID = 1
@@ -30,6 +30,8 @@ FILE_IDS = 8_000_000
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 1_000_000
 SHARED = "rxweave encoder"
+#: Texts that are taken from a batch at a time.
+AT_ONCE = 256
 #: Stems that are given to the tokenizer as one text.
 STEMS_AT_ONCE = 10_000
 #: Marks and symbols that may end a word; with Latin letters before, the tokenizer always cuts between the two.
@@ -56,12 +58,11 @@ class Encoder:
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.latin = Tokenizer.from_file(path), re.compile(LATIN).fullmatch
         # Stems are lower-case, composed and whole already: the same merges without the steps before them.
-        self.merges = Tokenizer.from_file(path)
-        self.merges.normalizer = normalizers.Sequence([])
+        self.merges = Tokenizer(self.tokenizer.model)  # one model for both: it is most of an encoder's memory
         self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -127,8 +128,8 @@ class Encoder:
         return found | dict(zip(other, self._whole([w.decode("utf-8") for w in other]), strict=True))
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for i in range(0, len(texts), 256):
-            split = [(t or "").encode("utf-8").split() for t in texts[i : i + 256]]
+        for i in range(0, len(texts), AT_ONCE):
+            split = [(t or "").encode("utf-8").split() for t in texts[i : i + AT_ONCE]]
             known = self.words
             missing = [w for w in set().union(*split) if w not in known]
             found = self._learn(missing)
@@ -144,6 +145,7 @@ def _raw(folder: str, path: str, remembered: int):
     """Tokenize a partition into raw files; a manifest row for each."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         encode, part, seq = Encoder.shared(path, remembered), TaskContext.get().partitionId(), 0
         docs, valid, sizes, ids, n = [], [], [], [], 0
 
@@ -158,7 +160,8 @@ def _raw(folder: str, path: str, remembered: int):
             docs, valid, sizes, ids, n, seq = [], [], [], [], 0, seq + 1
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in batches:
+        few = (batch.slice(i, AT_ONCE) for batch in batches for i in range(0, batch.num_rows, AT_ONCE))
+        for batch in few:
             for doc, got in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 docs.append(doc or 0)
                 valid.append(doc is not None)
@@ -169,6 +172,7 @@ def _raw(folder: str, path: str, remembered: int):
                     yield flush()
         if docs:
             yield flush()
+        trim_memory()
 
     return write
 

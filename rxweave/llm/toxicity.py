@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_folder, scratch, table, trim_memory
+from .common import cut, drop_folder, lean_memory, scratch, table, trim_memory
 from .files import open_file, write_file
 from .rolling import Rolling, mixed
 
@@ -84,6 +84,7 @@ def _features(folder: str):
     """(path, records): files with the label, the place and the hashes of each row, the bias last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         hasher, part, no = Hasher(), TaskContext.get().partitionId(), 0
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS_A_FILE):
@@ -204,6 +205,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.n
 
 def _scores(model: tuple[np.ndarray, np.ndarray, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         keep, weight = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.float32)
         keep[model[0]], weight[model[0]] = True, model[1]
         hasher = Hasher()
