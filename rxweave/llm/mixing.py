@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, fresh, table
 
 MAX_EPOCHS = 3
 SEED = 17
-#: Hex digits of the key that form a bucket: 4096 buckets a source, of which a single one is sorted.
-BUCKET_DIGITS = 3
+#: Keys of the bucket of a source that is sorted, as expected at most, and hex digits of a bucket at least.
+BUCKET_ROWS, LEAST_DIGITS = 20_000, 3
 
 
 def words_in(text: Column) -> Column:
@@ -32,7 +32,8 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     Weights 1, 2, 3 repeat over the sources by code point, null last.  Clamping sources at max_epochs times their size and
     resharing the excess by weight until none is above ends at one water level: with sources ordered by cap over weight,
     those before the first whose share of what is left fits below its cap are clamped and the rest share by weight.
-    Sources without words get target 0.  The windows run over one row per source, not over documents.
+    Sources without words get target 0.  The windows run over one row per source in one task, which is fine for as many sources
+    as a mix has weights; they never run over documents.
     """
     everything = Window.partitionBy()
     numbered = sources.withColumn(
@@ -54,9 +55,14 @@ def plan(sized: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """What each source takes, one row per source: whole repetitions of every document, and one more for keys up to last_key.
 
     sized has source, size, key.  In key order documents are taken once more until the source's remaining words are
-    closest to the target.  Bucket sums find the bucket where that happens; only its documents are ordered.
+    closest to the target.  Bucket sums find the bucket where that happens; only its documents are ordered.  Buckets are as many as
+    leave BUCKET_ROWS keys in one even if all rows have one source.
     """
-    bucket = F.substring("key", 1, BUCKET_DIGITS)
+    digits = LEAST_DIGITS
+    rows = sized.count()
+    while rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    bucket = F.substring("key", 1, digits)
     by_bucket = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size"))
     sources = water_fill(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -117,11 +123,12 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> Data
     words come within half a document of its target.  Documents without words follow their source's plan like any other.
     Equal doc_ids are taken together.  An empty table gives an empty table.
     """
-    planned = cut(plan(cut(sizes(docs, seed)), max_epochs).withColumnRenamed("source", "mix_source"))
+    (copy,) = fresh(docs.columns, "copy")
+    planned = cut(plan(cut(sizes(docs, seed)), max_epochs))
     d, p = docs.alias("d"), planned.alias("p")
     copies = F.col("p.whole") + (sampling_key(F.col("d.doc_id"), seed) <= F.col("p.last_key")).cast("int")
-    taken = d.join(F.broadcast(p) if small(planned) else p, F.col("d.source").eqNullSafe(F.col("p.mix_source")))
-    return taken.select("d.*", F.explode(F.array_repeat(F.lit(0), copies)).alias("mix_copy")).drop("mix_copy")
+    taken = d.join(F.broadcast(p) if small(planned) else p, F.col("d.source").eqNullSafe(F.col("p.source")))
+    return taken.select("d.*", F.explode(F.array_repeat(F.lit(0), copies)).alias(copy)).drop(copy)
 
 
 def small(planned: DataFrame, most: int = 50_000) -> bool:

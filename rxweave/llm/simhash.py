@@ -125,6 +125,16 @@ def _stars(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[low[moved]].view(np.int64))], ["a", "b"])
 
 
+def chained(difference: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether differing bits stay within proportional budgets over the chain of segments that begins at start."""
+    total, fits = np.zeros(len(difference), np.uint8), np.ones(len(difference), bool)
+    for step in range(SEGMENTS):
+        shift = np.uint64(WIDTH) * ((start + step) % SEGMENTS).astype(np.uint64)
+        total = total + np.bitwise_count(difference >> shift & np.uint64(0xFFFF))
+        fits &= total <= (step + 1) * MAX_BITS // SEGMENTS
+    return fits
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs under a key are held against the chain of budgets, then the full distance."""
     for batch in batches:
@@ -158,8 +168,10 @@ def _sublinks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, batch.num_rows, 1024):
             few = batch.slice(i, 1024).filter(pa.array(sizes[i : i + 1024] <= GATHER))
             fp, kind = few.column(2).flatten().to_numpy().view(np.uint64), few.column(3).flatten().to_numpy()
-            _, a, b = _pairs(np.diff(few.column(2).offsets.to_numpy()))
-            near = (kind[a] & kind[b] == 0) & (np.bitwise_count(fp[a] ^ fp[b]) <= MAX_BITS)
+            start = few.column(0).to_numpy().view(np.uint64) >> np.uint64(32)
+            group, a, b = _pairs(np.diff(few.column(2).offsets.to_numpy()))
+            near = (kind[a] & kind[b] == 0) & chained(fp[a] ^ fp[b], start[group].astype(np.int64))
+            near &= np.bitwise_count(fp[a] ^ fp[b]) <= MAX_BITS
             yield _stars(fp, a[near], b[near])
         for row in np.flatnonzero(sizes > GATHER):
             start, which = batch.column(0)[row].as_py() >> 32, batch.column(1)[row].as_py() >> WIDTH

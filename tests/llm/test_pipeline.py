@@ -4,6 +4,7 @@ import zlib
 
 import brute
 import corpus_pipeline
+from test_similar import components
 from tokenizers import Tokenizer
 
 from rxweave.llm import mixing, tokens, toxicity
@@ -23,9 +24,8 @@ def test_stages(spark):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in scores.collect() if r.score < 0.5}
 
     single = stages["near_duplicates"](spark, clean, DATA).cache()
-    prints = {r.doc_id: brute.fingerprint(r.text) for r in clean.collect()}
     assert single.columns == columns
-    assert sorted(r.doc_id for r in single.collect()) == sorted(set(brute.near_components(sorted(prints), prints).values()))
+    assert sorted(r.doc_id for r in single.collect()) == sorted(set(components({r.doc_id: r.text for r in clean.collect()}).values()))
 
     fresh = stages["decontamination"](spark, single, DATA).cache()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
