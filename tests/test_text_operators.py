@@ -1,0 +1,183 @@
+"""Operators whose order of steps SQL can't state, against plain versions; and examples of names, checks and notes."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from rxweave.functions import names as N
+from rxweave.functions import slots as L
+from rxweave.functions import strings as S
+from rxweave.operators import checker, fusion, grounding, lexicon, logs, names, notes, pairs, scoring
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def plain_chunks(text, size, overlap):
+    if len(text) <= size:
+        return [(0, len(text))]
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + size, len(text))
+        if end < len(text) and "\n" in text[at + size // 2 : end]:
+            end = at + size // 2 + text[at + size // 2 : end].rindex("\n") + 1
+        out.append((at, end))
+        if end == len(text):
+            return out
+        back = max(end - overlap, at + 1)
+        at = back + text[back:end].index("\n") + 1 if "\n" in text[back:end] else back
+    return out
+
+
+def test_chunks(spark):
+    random.seed(1)
+    texts = ["\n".join("x" * random.randrange(0, 60) for _ in range(random.randrange(1, 60))) for _ in range(60)] + ["", "y" * 900, "\n" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", notes.chunks(F.col("text"), 100, 30).alias("c")).collect()
+    for r in rows:
+        assert [tuple(c) for c in r.c] == plain_chunks(texts[r.i], 100, 30)
+
+
+def test_components_of_long_chains(spark):
+    random.seed(2)
+    links = [(i, i + 1) for i in range(0, 400)] + [(1000 + random.randrange(60), 1000 + random.randrange(60)) for _ in range(50)]
+    root = {n: n for link in links for n in link}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in pairs.components(spark.createDataFrame([x for x in links if x[0] != x[1]], "a int, b int")).collect()}
+    assert got == {n: find(n) for n in got} and len(got) >= 400
+
+
+def test_longest_names(spark):
+    vocabulary = spark.createDataFrame([("aspirin",), ("insulin",), ("insulin aspart",), ("sodium chloride",), ("long acting insulin aspart",)], "name string")
+    text = "Aspirin, then long acting\ninsulin aspart.\nLong Acting Insulin Aspart; sodium\nchloride insulin\nLabs:\naspirin level\nPlan:\nASPIRIN"
+    rows = notes.dictionary_mentions(spark.createDataFrame([(1, text)], "note_id int, text string"), vocabulary).collect()
+    got = sorted((r.s, text[r.s : r.e]) for r in rows)
+    assert [t for _, t in got] == ["Aspirin", "insulin aspart", "Long Acting Insulin Aspart", "insulin", "ASPIRIN"]
+
+
+def test_minor_from_one_half_on(spark):
+    graded = spark.createDataFrame([(i, i + 100, "Minor" if i < 5 else "Moderate") for i in range(10)], "a int, b int, severity string")
+    templates = spark.createDataFrame([(i, i + 100, "t") for i in range(10)], "a int, b int, template string")
+    assert pairs.template_severity(templates, graded).first().derived_severity == "Minor"
+    assert pairs.template_severity(templates, graded.filter("a < 9")).first().derived_severity == "Moderate"
+
+
+def test_real_names(spark):
+    lexicon_rows = [(n, [n], "kb") for n in ("aspirin", "warfarin", "metoprolol", "insulin human", "potassium chloride", "furosemide", "piperacillin", "tazobactam")]
+    lexicon_rows += [("entresto", ["sacubitril", "valsartan"], "rxnorm"), ("floxin", ["ofloxacin", "flumequine"], "wikidata")]
+    lex = spark.createDataFrame(lexicon_rows, "surface string, targets array<string>, source string")
+    raw = ["ASA 81 mg PO daily", "Metoprolol Tartrate 25mg", "KCl 20 mEq in sodium chloride 0.9%", "Zosyn 4.5 g", "Entresto", "floxin", "warfarn", "Normal saline 0.9%", "statins", " ", "nothing known", "lasix/aspirin"]
+    got = {r.raw: (r.drugs, r.stage, r.score, r.status) for r in names.normalize(spark.createDataFrame([(x,) for x in raw], "raw string"), lex).collect()}
+    assert got["ASA 81 mg PO daily"][:1] == (["aspirin"],) and got["Metoprolol Tartrate 25mg"][0] == ["metoprolol"] and got["Metoprolol Tartrate 25mg"][1] == "salt_stripped"
+    assert got["KCl 20 mEq in sodium chloride 0.9%"][0] == ["potassium chloride"] and got["Zosyn 4.5 g"][0] == ["piperacillin", "tazobactam"]
+    assert got["Entresto"] == (["sacubitril", "valsartan"], "combination_brand", 1.0, "mapped") and got["floxin"] == (["ofloxacin", "flumequine"], "exact", 0.5, "ambiguous")
+    assert got["warfarn"][:2] == (["warfarin"], "fuzzy") and got["warfarn"][2] == round(0.85 * 14 / 15, 3)
+    assert [got[x][3] for x in ("Normal saline 0.9%", "statins", " ", "nothing known")] == ["non_drug", "drug_class", "unmapped", "unmapped"]
+
+
+def test_indel_ratio(spark):
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *(row[j] + 1 if x == y else 0 for j, y in enumerate(b))] if False else _lcs_row(row, x, b)
+        return 200 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+    def _lcs_row(row, x, b):
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        return new
+
+    random.seed(3)
+    pairs_ = [("".join(random.choices("abc", k=random.randrange(12))), "".join(random.choices("abc", k=random.randrange(12)))) for _ in range(200)]
+    for r in spark.createDataFrame(pairs_, "a string, b string").select("a", "b", names.indel_ratio("a", "b").alias("r")).collect():
+        assert abs(r.r - plain(r.a, r.b)) < 1e-9
+
+
+def test_check_by_route_and_rule(spark):
+    concepts = spark.createDataFrame([(1, "timolol", ["t", "graded"], "A"), (2, "timolol (ophthalmic)", ["graded"], ""), (3, "verapamil", ["t"], "A"), (4, "sildenafil", ["t"], "B"), (5, "nitroglycerin", ["t"], "B")], "concept int, concept_name string, sources array<string>, home string")
+    known = spark.createDataFrame([(1, 3, "Major", None, ["graded"])], "a int, b int, level string, mechanisms array<struct<rank:int,template:string,text:string,severity:string,n_graded:bigint,share_major:double>>, record_sources array<string>")
+    members = spark.createDataFrame([(1, "A", "nitroglycerin"), (1, "B", "sildenafil")], "rule_no int, side string, item string")
+    entries = spark.createDataFrame([(9, 1, 1, "timolol", "Ophthalmic"), (9, 2, 2, "verapamil", None), (9, 3, 3, "sildenafil", None), (9, 4, 4, "nitroglycerin", None)], "list_id int, med int, place int, name string, route string")
+    got = {(r.a_concept, r.b_concept): (r.status, r.severity, r.basis) for r in checker.check(entries, concepts, known, members).collect()}
+    assert got[(1, 3)] == ("INTERACTION", "Major", "graded")  # by the drug without its route
+    assert got[(4, 5)] == ("INTERACTION", "Major", "rule") and got[(3, 4)] == ("NO_KNOWN_INTERACTION", None, None)
+
+
+def test_cues(spark):
+    text = "Simvastatin was held while on clarithromycin. We stopped her home lisinopril; aspirin was not held. Allergies: none.\n\nNo history of warfarin use."
+    spans = [(m.start(), m.end()) for m in re.finditer("Simvastatin|clarithromycin|lisinopril|aspirin|warfarin", text)]
+    rows = spark.createDataFrame([(s, e, text, [(a, b) for a, b in spans]) for s, e in spans], "s int, e int, text string, all array<struct<s:int,e:int>>")
+    got = [(r.x, r.y) for r in rows.select("s", notes.cue_status(F.col("text"), F.col("s"), F.col("e"), F.col("all")).alias("x"), notes.not_current(F.col("text"), F.col("s")).alias("y")).orderBy("s").collect()]
+    assert [x for x, _ in got] == ["held", "", "stopped", "", ""] and [y for _, y in got] == [False, False, False, False, True]
+
+
+def test_status_without_a_discharge_list(spark):
+    f = lambda words, none: one(spark, fusion.status_of(F.lit(False), F.lit(False), F.array(*map(F.lit, words)).cast("array<string>"), F.lit(False), F.lit(none)))
+    assert [f(["held"], False), f(["stopped"], False), f([], True), f([], False)] == ["held", "stopped", "mentioned", "active"]
+
+
+def test_fuzzy_grounding_and_tails(spark):
+    text = "Metoprolol 25 mg Tablett PO BID (2 times a day) as needed\n"
+    texts = spark.createDataFrame([(1, text)], "note_id int, text string")
+    rows = spark.createDataFrame([(1, 1, 0, len(text), "metoprolol", {"strength": "25 mg", "form": "Tablet s", "frequency": "bid", "route": "IV"}, "Held")], "note_id int, no int, chunk_s int, chunk_e int, drug string, values map<string,string>, status string")
+    mentions, values = grounding.ground(rows, texts, spark.createDataFrame([("metoprolol",)], "name string"))
+    assert [(r.name, r.status, r.source) for r in mentions.collect()] == [("metoprolol", "held", "llm")]
+    assert {r.kind: r.value for r in values.collect()} == {"strength": "25 mg", "frequency": "BID (2 times a day) as needed"} | ({"form": "Tablett "} if grounding.CUTOFF <= 87.5 else {})
+
+
+def test_lenient_is_greedy(spark):
+    kind = "note_id int, kind string, s int, e int"
+    gold = spark.createDataFrame([(1, "x", 0, 4), (1, "x", 5, 9), (1, "y", 0, 2)], kind)
+    predicted = spark.createDataFrame([(1, "x", 3, 6), (1, "x", 8, 12), (2, "x", 0, 1)], kind)
+    got = {r.kind: (r.tp, r.fp, r.fn) for r in scoring.lenient_counts(gold, predicted).collect()}
+    assert got == {"x": (2, 1, 0), "y": (0, 0, 1)}
+
+
+def test_log_refuses_what_is_broken(spark, tmp_path):
+    folder = f"file://{tmp_path}/log"
+    rows = lambda *ids: spark.createDataFrame([(1, i, f"p{i}") for i in ids], "log int, id long, payload string").withColumn("ts", F.timestamp_seconds("id").cast("timestamp_ntz"))
+    logs.append(rows(1, 2), folder)
+    logs.append(rows(3), folder)
+    log = spark.read.parquet(f"{folder}/entries")
+    assert [r.first_bad for r in logs.verified(log).collect()] == [None] and logs.heads(log).first().n == 3
+    anchors = logs.heads(log)
+    assert logs.verified(log.filter("id < 3"), anchors).first().first_bad == 3
+    spark.createDataFrame([(1, 4, "p4", "0" * 64, "1" * 64)], "log int, id long, payload string, prev_hash string, row_hash string").withColumn("ts", F.timestamp_seconds("id").cast("timestamp_ntz")).select(*log.columns).write.mode("append").parquet(f"{folder}/entries")
+    with pytest.raises(ValueError):
+        logs.append(rows(5), folder)
+    assert one(spark, logs.canonical({"b": F.lit('é "x"'), "a": F.lit(None).cast("string")})) == '{"a": null, "b": "é \\"x\\""}'
+
+
+def test_unique_ids_pass_over_taken_ones(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "a_1", 3), (1, "a", 4)], "k int, base string, no int")
+    got = {r.no: r.id for r in fusion.unique_ids(rows, "k", "base", "no").collect()}
+    assert got == {1: "a", 2: "a_2", 3: "a_1", 4: "a_3"}
+
+
+def test_neighbours_in_rounds(spark):
+    names_ = spark.createDataFrame([("x",), ("y",)], "name string")
+    mapped = spark.createDataFrame([(f"m{i}", i) for i in range(8)], "name string, id int")
+    links = spark.createDataFrame([("x", f"m{i}") for i in range(4)] + [("y", f"m{i}") for i in range(3, 8)], "name string, other string")
+    ids = spark.createDataFrame([(100, i) for i in range(4)] + [(101, i) for i in range(3, 8)], "id int, other int")
+    free = spark.createDataFrame([(100,), (101,)], "id int")
+    got = {r.name: r.id for r in lexicon.greedy_neighbour_matches(names_, mapped, links, ids, free).collect()}
+    assert got == {"x": 100, "y": 101}
+
+
+def test_small_functions(spark):
+    assert one(spark, N.stripped(F.lit("potassium chloride er 20"))) == "potassium 20" and one(spark, N.cleaned(F.lit("lasix (furosemide) 40 mg, po"))) == "lasix po"
+    assert [tuple(x) for x in one(spark, S.spans_of(F.lit("ab cd  ab"), S.pattern_of(F.lit("AB"))))] == [(0, 2), (7, 9)]
+    assert one(spark, L.detected(F.lit("q6h"))) == "frequency" and one(spark, L.detected(F.lit("mystery"))) is None
+    assert one(spark, S.line_at(F.lit("one\n two \nthree"), F.lit(6))) == "two"
+    assert one(spark, fusion.local_route(F.lit("patch 5%"), F.array(F.lit("lidocaine")))) == "topical"
