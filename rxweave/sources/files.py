@@ -133,7 +133,7 @@ def concept_relations(spark: SparkSession, path: str) -> DataFrame:
 
 def whole_notes(spark: SparkSession, folder: str) -> DataFrame:
     """(name, text) of the text files of a folder, each as one note under its title."""
-    rows = spark.read.option("wholetext", True).text(f"{folder}/*.txt").select(F.regexp_extract("_metadata.file_name", r"([^/]+)\.txt$", 1).alias("stem"), F.col("value").alias("text"))
+    rows = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.regexp_extract("_metadata.file_name", r"([^/]+)\.txt$", 1).alias("stem"), F.col("value").alias("text"))
     return rows.select(S.pretty(F.col("stem")).alias("name"), "text")
 
 
