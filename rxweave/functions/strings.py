@@ -9,6 +9,11 @@ SPACE = r"[ \t\n\r\f]+"
 DOSE = r"(^|[^a-z0-9])[0-9]+(\.[0-9]+)?[ ]?(mg|mcg|ml|g|units?|%)($|[^a-z0-9])"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: an expression that a lambda mentions twice would otherwise be computed twice."""
+    return F.transform(F.array(value), body)[0]
+
+
 def norm(s: Column) -> Column:
     """Lower case, trimmed, runs of white space as one blank."""
     return F.trim(F.regexp_replace(F.lower(s), SPACE, " "))

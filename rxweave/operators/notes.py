@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import spans_of
+from ..functions.strings import let, spans_of
 from .shared import sized
 
 # Titles of sections, words inside lists that end none, titles that always end one, and what looks like an item or a dose.
@@ -100,15 +100,16 @@ def headers(notes: DataFrame, text: str = "text") -> DataFrame:
     A title before a colon counts if the line before is blank or the title is a known one; a line in capitals only if it is known.
     """
     rows = notes.withColumn("lines", line_rows(F.coalesce(text, F.lit(""))))
-    colon = lambda x: F.regexp_extract(x["line"], COLON_TITLE, 1)
-    caps = lambda x: F.regexp_extract(x["line"], CAPS_TITLE, 1)
 
     def described(x: Column, i: Column) -> Column:
-        found = F.when(colon(x) != "", colon(x)).otherwise(caps(x))
-        title = F.btrim(F.regexp_replace(found, r"\s*\([^)]*\)\s*", " "))
-        length = F.when(colon(x) != "", F.length(F.regexp_extract(x["line"], COLON_TITLE, 0))).otherwise(F.length(x["line"]))
         blank = (i == 0) | (F.btrim(F.get(F.col("lines"), i - 1)["line"], F.lit(" \t\r")) == "")
-        return F.struct(x["s"].alias("s"), (x["s"] + length).alias("e"), title.alias("title"), kind_of(title).alias("kind"), (colon(x) == "").alias("caps"), blank.alias("blank"))
+
+        def titled(t: Column) -> Column:
+            whole = F.when(t["colon"] != "", F.length(F.regexp_extract(x["line"], COLON_TITLE, 0))).otherwise(F.length(x["line"]))
+            bare = F.btrim(F.regexp_replace(F.when(t["colon"] != "", t["colon"]).otherwise(t["caps"]), r"\s*\([^)]*\)\s*", " "))
+            return let(bare, lambda title: F.struct(x["s"].alias("s"), (x["s"] + whole).alias("e"), title.alias("title"), F.when(title != "", kind_of(title)).alias("kind"), (t["colon"] == "").alias("caps"), blank.alias("blank")))
+
+        return let(F.struct(F.regexp_extract(x["line"], COLON_TITLE, 1).alias("colon"), F.regexp_extract(x["line"], CAPS_TITLE, 1).alias("caps")), titled)
 
     rows = rows.withColumn("headers", F.transform("lines", described))
     counts = lambda h: (h["title"] != "") & ~h["title"].rlike(INLINE) & (h["kind"].isNotNull() | h["title"].rlike(KNOWN_END) | (h["blank"] & ~h["caps"]))
@@ -117,8 +118,7 @@ def headers(notes: DataFrame, text: str = "text") -> DataFrame:
 
 def prose_break(text: Column, begin: Column, end: Column) -> Column:
     """Where a list ends before a paragraph of prose: a blank line and a sentence of five words or more without doses, with no more items after it; else end."""
-    body = F.split(cut_out(text, begin, end), "\n", -1)
-    rows = F.transform(body, lambda x: F.struct(F.length(x).alias("n"), (F.btrim(x, F.lit(" \t\r")) == "").alias("blank"), x.rlike(ITEM).alias("item"), x.rlike(DOSEY).alias("dosey"), (F.size(F.split(F.btrim(x), r"\s+")) >= 5).alias("long")))
+    described = lambda x: F.struct(F.length(x).alias("n"), (F.btrim(x, F.lit(" \t\r")) == "").alias("blank"), x.rlike(ITEM).alias("item"), x.rlike(DOSEY).alias("dosey"), (F.size(F.split(F.btrim(x), r"\s+")) >= 5).alias("long"))
 
     def step(acc: Column, x: Column) -> Column:
         # From the last line to the first: items and lines with doses so far, whether the line after is prose that nothing follows, and the lines from here on.
@@ -129,8 +129,10 @@ def prose_break(text: Column, begin: Column, end: Column) -> Column:
 
     start = F.struct(F.lit(False).alias("item"), F.lit(0).alias("dosey"), F.lit(False).alias("prose"), F.lit(-1).alias("left"), F.lit(-1).alias("found"))
     # left counts the characters from a line's first one to the end of the list; the break is the line end before it.
-    found = F.aggregate(F.reverse(F.slice(rows, 2, F.size(rows))), start, step, lambda acc: acc["found"])
-    return F.when(found >= 0, end - found - 1).otherwise(end)
+    last_first = lambda rows: F.aggregate(F.reverse(F.slice(rows, 2, F.size(rows))), start, step, lambda acc: acc["found"])
+    found = lambda at: let(F.transform(F.split(cut_out(text, at["b"], at["e"]), "\n", -1), described), last_first)
+    place = lambda at: let(found(at), lambda n: F.when(n >= 0, at["e"] - n - 1).otherwise(at["e"]))
+    return let(F.struct(begin.alias("b"), end.alias("e")), place)
 
 
 def sections(notes: DataFrame, text: str = "text") -> DataFrame:
@@ -241,21 +243,26 @@ def cue_status(text: Column, s: Column, e: Column, spans: Column) -> Column:
 
     A cue means the drug right after it, with nothing but fillers between, else the nearest one before it, else the nearest one after it.
     """
+
+    def within(at: Column) -> Column:
+        drugs = F.array_sort(F.filter(spans, lambda d: (d["s"] >= at["lo"]) & (d["e"] <= at["hi"])))
+        cues = F.transform(spans_of(cut_out(text, at["lo"], at["hi"]), F.lit(CUE)), lambda c: F.struct((c["s"] + at["lo"]).alias("s"), (c["e"] + at["lo"]).alias("e")))
+        meant = F.filter(cues, lambda c: ~cut_out(text, F.greatest(c["s"] - 20, at["lo"]), c["s"]).rlike(NEGATED))
+        return let(F.struct(drugs.alias("drugs"), meant.alias("cues")), said)
+
+    def said(x: Column) -> Column:
+        def target(c: Column) -> Column:
+            after = F.get(F.filter(x["drugs"], lambda d: d["s"] >= c["e"]), F.lit(0))
+            before = F.try_element_at(F.filter(x["drugs"], lambda d: d["e"] <= c["s"]), F.lit(-1))
+            between = F.filter(F.split(F.lower(cut_out(text, c["e"], after["s"])), r"\s+"), lambda w: w != "")
+            direct = after.isNotNull() & F.forall(between, lambda w: w.isin(*FILLERS))
+            return F.when(direct, after["s"]).otherwise(F.coalesce(before["s"], after["s"]))
+
+        word = lambda own: F.lower(cut_out(text, F.get(own, F.lit(0))["s"], F.get(own, F.lit(0))["e"]))
+        return let(F.filter(x["cues"], lambda c: target(c) == s), lambda own: F.when(F.size(own) == 0, "").when(word(own).startswith("hold") | (word(own) == "held"), "held").otherwise("stopped"))
+
     lo, hi = sentence(text, s, e)
-    drugs = F.array_sort(F.filter(spans, lambda d: (d["s"] >= lo) & (d["e"] <= hi)))
-    cues = F.transform(spans_of(cut_out(text, lo, hi), F.lit(CUE)), lambda c: F.struct((c["s"] + lo).alias("s"), (c["e"] + lo).alias("e")))
-    cues = F.filter(cues, lambda c: ~cut_out(text, F.greatest(c["s"] - 20, lo), c["s"]).rlike(NEGATED))
-
-    def target(c: Column) -> Column:
-        after = F.get(F.filter(drugs, lambda d: d["s"] >= c["e"]), F.lit(0))
-        before = F.try_element_at(F.filter(drugs, lambda d: d["e"] <= c["s"]), F.lit(-1))
-        between = F.filter(F.split(F.lower(cut_out(text, c["e"], after["s"])), r"\s+"), lambda w: w != "")
-        direct = after.isNotNull() & F.forall(between, lambda w: w.isin(*FILLERS))
-        return F.when(direct, after["s"]).otherwise(F.coalesce(before["s"], after["s"]))
-
-    own = F.filter(cues, lambda c: target(c) == s)
-    word = F.lower(cut_out(text, F.get(own, F.lit(0))["s"], F.get(own, F.lit(0))["e"]))
-    return F.when(F.size(own) == 0, "").when(word.startswith("hold") | (word == "held"), "held").otherwise("stopped")
+    return let(F.struct(lo.alias("lo"), hi.alias("hi")), within)
 
 
 def not_current(text: Column, s: Column) -> Column:
