@@ -89,7 +89,7 @@ def test_indel_ratio(spark):
     def plain(a, b):
         row = [0] * (len(b) + 1)
         for x in a:
-            row = [0, *(row[j] + 1 if x == y else 0 for j, y in enumerate(b))] if False else _lcs_row(row, x, b)
+            row = _lcs_row(row, x, b)
         return 200 * row[-1] / (len(a) + len(b)) if a or b else 100.0
 
     def _lcs_row(row, x, b):
