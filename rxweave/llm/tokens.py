@@ -85,12 +85,14 @@ class Encoder:
 
     @staticmethod
     def forget() -> None:
-        """Give the memory of this process's encoders back, once all texts are tokenized."""
+        """Give the memory of this process's encoders back, once all texts are tokenized, if they were told to remember little."""
         import sys
 
-        for key in [k for k in vars(sys) if k.startswith(SHARED)]:
+        lean = [k for k, e in vars(sys).items() if k.startswith(SHARED) and e.remembered < REMEMBERED]
+        for key in lean:
             delattr(sys, key)
-        trim_memory()
+        if lean:
+            trim_memory()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -145,7 +147,8 @@ def _raw(folder: str, path: str, remembered: int):
     """Tokenize a partition into raw files; a manifest row for each."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean_memory()
+        if remembered < REMEMBERED:
+            lean_memory()
         encode, part, seq = Encoder.shared(path, remembered), TaskContext.get().partitionId(), 0
         docs, valid, sizes, ids, n = [], [], [], [], 0
 
@@ -172,7 +175,8 @@ def _raw(folder: str, path: str, remembered: int):
                     yield flush()
         if docs:
             yield flush()
-        trim_memory()
+        if remembered < REMEMBERED:
+            trim_memory()
 
     return write
 
