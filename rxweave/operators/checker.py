@@ -95,7 +95,12 @@ def check(entries: DataFrame, concepts: DataFrame, known: DataFrame, members: Da
     pair and one of the two is given by a local route, the concepts without the route are checked instead; a pair that the list has anyway is then
     reported once.
     """
-    pairs = written(list_pairs(concepts_of(entries, concepts)))
+    return check_concepts(concepts_of(entries, concepts), concepts, known, members)
+
+
+def check_concepts(entries: DataFrame, concepts: DataFrame, known: DataFrame, members: DataFrame) -> DataFrame:
+    """check() for entries whose concepts are known already, see concepts_of()."""
+    pairs = written(list_pairs(entries))
     kinds = pairs.columns
     first = with_rules(looked_up(pairs, known), members)
     local = (F.col("status") == "NOT_COVERED") & (F.col("a_route").isNotNull() | F.col("b_route").isNotNull())

@@ -19,16 +19,18 @@ def link_features(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Features of pairs (a, b), as if the link between a and b were not there.
 
     Degrees are less one where the pair is linked; common neighbours weigh by their whole degrees, those of degree one not
-    at all in the logarithmic sum.
+    at all in the logarithmic sum.  Common neighbours are looked for from the end that has fewer, so a hub costs a pair no more than its other end does.
     """
     degree = edges.groupBy("u").agg(F.count("*").alias("degree"))
     linked = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(1).alias("linked"))
-    x, y = edges.select(F.col("u").alias("a"), F.col("v").alias("w")), edges.select(F.col("u").alias("b"), F.col("v").alias("w"))
-    common = pairs.select("a", "b").join(x, "a").join(y, ["b", "w"]).join(degree.withColumnRenamed("u", "w"), "w")
+    of = lambda name: degree.select(F.col("u").alias(name), F.col("degree").alias(f"degree_{name}"))
+    fewer = F.col("degree_a") <= F.col("degree_b")
+    ends = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("few"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("many"))
+    x, y = edges.select(F.col("u").alias("few"), F.col("v").alias("w")), edges.select(F.col("u").alias("many"), F.col("v").alias("w"))
+    common = ends.join(x, "few").join(y, ["many", "w"]).join(degree.withColumnRenamed("u", "w"), "w")
     shared = common.groupBy("a", "b").agg(
         F.count("*").alias("common"), F.sum(F.when(F.col("degree") > 1, 1 / F.log("degree")).otherwise(0.0)).alias("adamic"), F.sum(1 / F.col("degree")).alias("allocation")
     )
-    of = lambda name: degree.select(F.col("u").alias(name), F.col("degree").alias(f"degree_{name}"))
     joined = pairs.select("a", "b").join(linked, ["a", "b"], "left").join(shared, ["a", "b"], "left").join(of("a"), "a", "left").join(of("b"), "b", "left")
     own = F.coalesce("linked", F.lit(0))
     da, db = (F.coalesce(f"degree_{x}", F.lit(0)) - own for x in "ab")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import json
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -38,22 +44,31 @@ def refused(action: Column, reviewer: Column, reason: Column, comment: Column) -
     )
 
 
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (log, id, ts, payload, head) in the order of log and id, with hashes; only the last log and its hash are carried from batch to batch."""
+    log, head = object(), GENESIS
+    for batch in batches:
+        before, own = [], []
+        for name, payload, start in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4)), strict=True):
+            if name != log:
+                log, head = name, start or GENESIS
+            before.append(head)
+            head = hashlib.sha256((head + (payload or "")).encode("utf-8", "surrogatepass")).hexdigest()
+            own.append(head)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(before, pa.string()), pa.array(own, pa.string())], ["log", "id", "ts", "payload", "prev_hash", "row_hash"])
+
+
 def signed(entries: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """entries (log, id, ts, payload) with prev_hash and row_hash, chained by id within each log, from the log's head (log, head) if it has one.
 
-    A chain is one entry after the other by nature, so each log's new entries are folded in one row; logs go in parallel.
+    A chain is one entry after the other by nature: a log's new entries pass one task in order, as a stream, and nothing of them is gathered; logs go
+    in parallel.  A null payload counts as empty.
     """
-    held = entries.groupBy("log").agg(F.array_sort(F.collect_list(F.struct("id", "ts", "payload"))).alias("x"))
-    held = held.join(heads, "log", "left") if heads is not None else held.withColumn("head", F.lit(None).cast("string"))
-    none = F.array().cast("array<struct<id:bigint,ts:timestamp_ntz,payload:string,prev_hash:string,row_hash:string>>")
-
-    def step(acc: Column, e: Column) -> Column:
-        own = row_hash(acc["head"], e["payload"])
-        entry = F.struct(e["id"].cast("long").alias("id"), e["ts"].cast("timestamp_ntz").alias("ts"), e["payload"].alias("payload"), acc["head"].alias("prev_hash"), own.alias("row_hash"))
-        return F.struct(own.alias("head"), F.array_append(acc["rows"], entry).alias("rows"))
-
-    start = F.struct(F.coalesce("head", F.lit(GENESIS)).alias("head"), none.alias("rows"))
-    return held.select("log", F.explode(F.aggregate("x", start, step, lambda acc: acc["rows"])).alias("r")).select("log", "r.*")
+    kind = dict(entries.dtypes)["log"]
+    rows = entries.select("log", F.col("id").cast("long"), F.col("ts").cast("timestamp_ntz"), "payload")
+    rows = rows.join(heads.select("log", "head"), "log", "left") if heads is not None else rows.withColumn("head", F.lit(None).cast("string"))
+    schema = f"log {kind}, id long, ts timestamp_ntz, payload string, prev_hash string, row_hash string"
+    return rows.repartition("log").sortWithinPartitions("log", "id").mapInArrow(_chained, schema)
 
 
 def heads(log: DataFrame) -> DataFrame:
@@ -68,7 +83,7 @@ def verified(log: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """
     w = Window.partitionBy("log").orderBy("id")
     previous = F.lag("row_hash", 1, GENESIS).over(w)
-    bad = (F.col("prev_hash") != previous) | (F.col("row_hash") != row_hash(F.col("prev_hash"), F.col("payload"))) | F.coalesce(F.col("ts") < F.lag("ts").over(w), F.lit(False))
+    bad = (F.col("prev_hash") != previous) | (F.col("row_hash") != row_hash(F.col("prev_hash"), F.coalesce("payload", F.lit("")))) | F.coalesce(F.col("ts") < F.lag("ts").over(w), F.lit(False))
     found = log.withColumn("bad", F.when(bad, F.col("id"))).groupBy("log").agg(F.count("*").alias("n"), F.min("bad").alias("first_bad"), F.max("id").alias("last"), F.max_by("row_hash", "id").alias("head"))
     if anchors is not None:
         kept = anchors.select("log", F.col("n").alias("kept_n"), F.col("head").alias("kept_head"))
@@ -78,24 +93,81 @@ def verified(log: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     return found.select("log", F.coalesce("n", F.lit(0)).alias("n"), "first_bad")
 
 
-def append(new: DataFrame, folder: str) -> None:
+class _Files:
+    """The few file operations that a commit needs, by Hadoop's file systems, so that they reach whatever store Spark reads."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm, self.conf, self.folder = spark._jvm, spark._jsc.hadoopConfiguration(), folder
+        self.system = self.path("").getFileSystem(self.conf)
+        self.renamed = spark._sc._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def exists(self, name: str) -> bool:
+        return self.system.exists(self.path(name))
+
+    def names(self, name: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self.system.listStatus(self.path(name))) if self.exists(name) else []
+
+    def move(self, source: str, target: str) -> None:
+        """Rename; an error if the target is there already."""
+        self.system.mkdirs(self.path(target).getParent())
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(source).toUri(), self.conf).rename(self.path(source), self.path(target), self.renamed)
+
+    def write(self, name: str, text: str) -> None:
+        out = self.system.create(self.path(name), True)
+        out.write(text.encode())
+        out.close()
+
+
+def recover(spark: SparkSession, folder: str) -> None:
+    """Finish commits that were decided but not carried out: their files go where they belong.  Staged files without a commit stay unseen."""
+    files = _Files(spark, folder)
+    staged = set(files.names("staging"))
+    if not staged or not files.names("commits"):
+        return
+    for r in spark.read.schema("token string, entries array<string>, anchors array<string>").json(f"{folder}/commits").filter(F.col("token").isin(*staged)).collect():
+        for kind in ("entries", "anchors"):
+            there = set(files.names(f"staging/{r.token}/{kind}"))
+            for name in r[kind]:
+                if name in there:
+                    files.move(f"staging/{r.token}/{kind}/{name}", f"{kind}/{name}")
+        files.system.delete(files.path(f"staging/{r.token}"), True)
+
+
+def append(new: DataFrame, folder: str, writer: str | None = None, batch: int | None = None) -> bool:
     """Add entries (log, id, ts, payload) to the logs in folder, after these are verified against their anchors; nothing there is ever changed.
 
-    One writer at a time.  Entries come as further files, anchors as a further set of rows, of which the longest of a log counts.
+    Exactly once: entries and anchors are staged, then one file, whose name only one writer can take, decides that they belong to the log, then they are
+    moved.  Whoever stops before that file has added nothing; whoever stops after it is finished by the next append or by recover().  A batch that its
+    writer has added before is not added again: False is returned.  Two writers at once can't both commit on the same state: the later one gets an error and has
+    added nothing.  Entries come as further files, anchors as a further set of rows, of which the longest of a log counts.
     """
-    spark = new.sparkSession
-    exists = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/entries").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/entries"))
+    spark, files = new.sparkSession, _Files(new.sparkSession, folder)
+    recover(spark, folder)
+    done = files.names("commits")
+    if writer is not None and done:
+        known = spark.read.schema("writer string, batch long").json(f"{folder}/commits")
+        if not known.filter((F.col("writer") == writer) & (F.col("batch") == batch)).isEmpty():
+            return False
     before = None
-    if exists:
+    if files.exists("entries"):
         log = spark.read.parquet(f"{folder}/entries")
         anchors = spark.read.parquet(f"{folder}/anchors").groupBy("log").agg(F.max("n").alias("n"), F.max_by("head", "n").alias("head"))
         broken = verified(log, anchors).filter("first_bad is not null").limit(1).collect()
         if broken:
             raise ValueError(f"log {broken[0].log} fails at entry {broken[0].first_bad}; nothing is added to a broken log")
         before = written(heads(log))
+    token = uuid.uuid4().hex
     added = written(signed(new, before.select("log", "head") if before is not None else None))
-    added.write.mode("append").parquet(f"{folder}/entries")
+    added.write.parquet(f"{folder}/staging/{token}/entries")
     now = heads(added)
     if before is not None:
         now = now.join(before.select("log", F.col("n").alias("was")), "log", "left").select("log", (F.col("n") + F.coalesce("was", F.lit(0))).alias("n"), "head")
-    now.write.mode("append").parquet(f"{folder}/anchors")
+    now.write.parquet(f"{folder}/staging/{token}/anchors")
+    commit = {"token": token, "writer": writer, "batch": batch, **{kind: [n for n in files.names(f"staging/{token}/{kind}") if n.endswith(".parquet")] for kind in ("entries", "anchors")}}
+    files.write(f"staging/{token}/commit.json", json.dumps(commit))
+    files.move(f"staging/{token}/commit.json", f"commits/{len(done):012d}.json")
+    recover(spark, folder)
+    return True

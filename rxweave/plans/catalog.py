@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checker, evaluation, fields, knowledge, lexicon, links, names, notes, review, scoring, sources, texts  # noqa: F401  they register their queries
+from . import analysis, checker, evaluation, fields, knowledge, lexicon, links, names, notes, prediction, review, scoring, sources, texts  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "q_report"

@@ -121,7 +121,6 @@ def q_tfidf_topk(spark, d):
     """The three snippets most like each one of the documents whose number is divisible by 20, among those of all documents."""
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.split("text", "\n", -1).alias("x"))
     groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / 8)), lambda i: F.array_join(F.slice("x", (i * 8 + 1).cast("int"), 8), "\n"))
-    snippets = docs.select("doc_id", F.posexplode(groups).alias("snippet", "text")).select("doc_id", F.col("snippet").cast("long").alias("snippet"), T.word_runs(F.col("text")).alias("terms"))
-    weights = written(T.tfidf(snippets, ["doc_id", "snippet"], "terms"))
-    asked = weights.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("q_doc_id"), F.col("snippet").alias("q_snippet"), "term", F.col("weight").alias("q"))
-    return T.top_similar(weights, asked, ["doc_id", "snippet"], 3).select("q_doc_id", "q_snippet", "place", F.round("score", 5).alias("score"))
+    snippets = docs.select("doc_id", F.posexplode(groups).alias("snippet", "text")).withColumn("snippet", F.col("snippet").cast("long"))
+    rows = T.vectors(snippets, ["doc_id", "snippet"], "text")
+    return T.top_similar(rows, rows.filter("doc_id % 20 = 0"), ["doc_id", "snippet"], 3).select("q_doc_id", "q_snippet", "place", F.round("score", 5).alias("score"))

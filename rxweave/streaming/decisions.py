@@ -38,9 +38,13 @@ def newest(spark: SparkSession, folder: str, keys: list[str], order: str) -> Dat
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
-def append_signed(entries: DataFrame, folder: str, checkpoint: str) -> None:
-    """Add arriving entries (log, id, ts, payload) to signed logs, batch after batch; the state is the logs' heads, read from the logs themselves."""
-    entries.writeStream.foreachBatch(lambda batch, _: logs.append(batch, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def append_signed(entries: DataFrame, folder: str, checkpoint: str, writer: str = "stream") -> None:
+    """Add arriving entries (log, id, ts, payload) to signed logs, batch after batch; the state is the logs' heads, read from the logs themselves.
+
+    The batch's number goes into its commit, so a batch that Spark runs again after a failure is added once.
+    """
+    query = entries.writeStream.foreachBatch(lambda batch, number: logs.append(batch, folder, writer, number) and None)
+    query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_to_end(stream: DataFrame, folder: str, checkpoint: str) -> None:

@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from rxweave.operators import graph
@@ -89,3 +90,56 @@ def test_link_models(spark):
     for model in (trees, plain):
         assert model.transform(rows).filter("prediction = label").count() >= 280
     assert graph.top_inputs(trees, ["x", "y"], 1)[0][0] == "x"
+
+
+def log_rows(spark, *ids):
+    return spark.createDataFrame([(i % 2, i, f"p{i}") for i in ids], "log int, id long, payload string").withColumn("ts", F.timestamp_seconds("id").cast("timestamp_ntz"))
+
+
+def test_replayed_batches_are_added_once(spark, tmp_path):
+    from rxweave.operators import logs
+
+    folder = f"file://{tmp_path}/log"
+    assert logs.append(log_rows(spark, 0, 1, 2), folder, "stream", 0) and logs.append(log_rows(spark, 3, 4), folder, "stream", 1)
+    assert not logs.append(log_rows(spark, 3, 4), folder, "stream", 1) and not logs.append(log_rows(spark, 0, 1, 2), folder, "stream", 0)
+    assert logs.append(log_rows(spark, 5), folder, "other", 1)
+    log = spark.read.parquet(f"{folder}/entries")
+    assert sorted(r.id for r in log.collect()) == list(range(6)) and [r.first_bad for r in logs.verified(log).collect()] == [None, None]
+    assert {tuple(r) for r in logs.heads(log).collect()} == {tuple(r) for r in logs.heads(logs.signed(log_rows(spark, *range(6)))).collect()}
+
+
+@pytest.mark.parametrize("stop", ["commits/", "entries/", "anchors/"])
+def test_stops_in_between(spark, tmp_path, monkeypatch, stop):
+    """Before the commit nothing is added, and the batch can be added again; after it the rest is carried out by whoever comes next."""
+    from rxweave.operators import logs
+
+    folder, move = f"file://{tmp_path}/log", logs._Files.move
+    logs.append(log_rows(spark, 0, 1), folder, "w", 0)
+
+    def stopped(self, source, target):
+        if target.startswith(stop):
+            raise RuntimeError("stopped")
+        move(self, source, target)
+
+    monkeypatch.setattr(logs._Files, "move", stopped)
+    with pytest.raises(RuntimeError):
+        logs.append(log_rows(spark, 2, 3), folder, "w", 1)
+    monkeypatch.setattr(logs._Files, "move", move)
+    assert logs.append(log_rows(spark, 2, 3), folder, "w", 1) == (stop == "commits/")
+    assert logs.append(log_rows(spark, 4), folder, "w", 2)
+    log = spark.read.parquet(f"{folder}/entries")
+    anchors = spark.read.parquet(f"{folder}/anchors").groupBy("log").agg(F.max("n").alias("n"), F.max_by("head", "n").alias("head"))
+    assert sorted(r.id for r in log.collect()) == list(range(5)) and [r.first_bad for r in logs.verified(log, anchors).collect()] == [None, None]
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """Who commits second on the same state gets an error and adds nothing."""
+    from rxweave.operators import logs
+
+    folder, names = f"file://{tmp_path}/log", logs._Files.names
+    logs.append(log_rows(spark, 0, 1), folder)
+    monkeypatch.setattr(logs._Files, "names", lambda self, name: [] if name == "commits" else names(self, name))
+    with pytest.raises(Exception, match="AlreadyExists"):
+        logs.append(log_rows(spark, 2), folder)
+    monkeypatch.setattr(logs._Files, "names", names)
+    assert spark.read.parquet(f"{folder}/entries").count() == 2 and logs.append(log_rows(spark, 2), folder)
