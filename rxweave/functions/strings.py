@@ -96,7 +96,7 @@ def spans_of(text: Column, pattern: Column) -> Column:
 
     Functions return no positions, so the text is cut at its matches: lengths of what is between and of the matches add up to them.
     """
-    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(F.regexp_replace(text, pattern, F.lit("\x00")), "\x00", -1)
+    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     none = F.array().cast("array<struct<s:int,e:int>>")
     step = lambda acc, x: F.struct(
         (acc["at"] + F.length(x["b"]) + F.length(x["f"])).alias("at"),

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Files, written
 
 # The hash before the first entry, the actions, and the reasons of an override.
 GENESIS = "0" * 64
@@ -93,37 +93,9 @@ def verified(log: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     return found.select("log", F.coalesce("n", F.lit(0)).alias("n"), "first_bad")
 
 
-class _Files:
-    """The few file operations that a commit needs, by Hadoop's file systems, so that they reach whatever store Spark reads."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.jvm, self.conf, self.folder = spark._jvm, spark._jsc.hadoopConfiguration(), folder
-        self.system = self.path("").getFileSystem(self.conf)
-        self.renamed = spark._sc._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
-
-    def path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-
-    def exists(self, name: str) -> bool:
-        return self.system.exists(self.path(name))
-
-    def names(self, name: str) -> list[str]:
-        return sorted(f.getPath().getName() for f in self.system.listStatus(self.path(name))) if self.exists(name) else []
-
-    def move(self, source: str, target: str) -> None:
-        """Rename; an error if the target is there already."""
-        self.system.mkdirs(self.path(target).getParent())
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(source).toUri(), self.conf).rename(self.path(source), self.path(target), self.renamed)
-
-    def write(self, name: str, text: str) -> None:
-        out = self.system.create(self.path(name), True)
-        out.write(text.encode())
-        out.close()
-
-
 def recover(spark: SparkSession, folder: str) -> None:
     """Finish commits that were decided but not carried out: their files go where they belong.  Staged files without a commit stay unseen."""
-    files = _Files(spark, folder)
+    files = Files(spark, folder)
     staged = set(files.names("staging"))
     if not staged or not files.names("commits"):
         return
@@ -144,7 +116,7 @@ def append(new: DataFrame, folder: str, writer: str | None = None, batch: int |
     writer has added before is not added again: False is returned.  Two writers at once can't both commit on the same state: the later one gets an error and has
     added nothing.  Entries come as further files, anchors as a further set of rows, of which the longest of a log counts.
     """
-    spark, files = new.sparkSession, _Files(new.sparkSession, folder)
+    spark, files = new.sparkSession, Files(new.sparkSession, folder)
     recover(spark, folder)
     done = files.names("commits")
     if writer is not None and done:

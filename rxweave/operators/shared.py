@@ -39,3 +39,34 @@ def written(df: DataFrame) -> DataFrame:
     """A written copy in the shared folder: lineage ends there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Files:
+    """The few file operations that a commit needs, by Hadoop's file systems, so that they reach whatever store Spark reads."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm, self.conf, self.folder = spark._jvm, spark._jsc.hadoopConfiguration(), folder
+        self.system = self.path("").getFileSystem(self.conf)
+        self.rename, self.gateway = self.jvm.org.apache.hadoop.fs.Options.Rename, spark._sc._gateway
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def exists(self, name: str) -> bool:
+        return self.system.exists(self.path(name))
+
+    def names(self, name: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self.system.listStatus(self.path(name))) if self.exists(name) else []
+
+    def move(self, source: str, target: str, replace: bool = False) -> None:
+        """Rename in one step; if the target is there already it is replaced, or else that is an error."""
+        how = self.gateway.new_array(self.rename, int(replace))
+        if replace:
+            how[0] = self.rename.OVERWRITE
+        self.system.mkdirs(self.path(target).getParent())
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(source).toUri(), self.conf).rename(self.path(source), self.path(target), how)
+
+    def write(self, name: str, text: str) -> None:
+        out = self.system.create(self.path(name), True)
+        out.write(text.encode())
+        out.close()

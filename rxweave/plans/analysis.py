@@ -17,7 +17,7 @@ from ..operators import notes as T
 from ..operators.shared import written
 from ..sources.tables import table
 from . import checker as K
-from .knowledge import RULES, SQL_PAIRS, raw_pairs
+from .knowledge import RULES, SQL_PAIRS
 from .notes import LETTERS, SOURCES, SQL_NOTES, mentions, notes
 from .registry import query, stored
 
@@ -75,7 +75,7 @@ def note_lists(spark, d) -> DataFrame:
 
 def base(spark, d):
     """The tables that a check starts from: concepts, known pairs, members of rules."""
-    return concepts(spark, d), stored(spark, d, "known", lambda s, f: K.known(raw_pairs(s, f))), rule_members(spark, d)
+    return concepts(spark, d), K.stored_known(spark, d), rule_members(spark, d)
 
 
 def analyzed(spark, d) -> DataFrame:

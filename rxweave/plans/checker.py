@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import checker as C
 from ..operators import pairs as P
-from ..operators.shared import sized, written
+from ..operators.shared import new_folder, sized
+from ..sources import store
 from ..sources.tables import table
-from .knowledge import RULES, SQL_PAIRS, graded, raw_pairs, templates
+from .knowledge import RULES, SQL_KNOWN, SQL_PAIRS, graded, known_pairs, raw_pairs, templates
 from .registry import query
 
 
@@ -37,6 +38,29 @@ def known(raw: DataFrame) -> DataFrame:
     return both.withColumn("record_sources", names)
 
 
+def write_knowledge_base(raw: DataFrame, folder: str, named: DataFrame) -> None:
+    """The knowledge base as a new version in a folder: pairs with what each source has, what each pair comes to, severities of templates, and concepts."""
+    tables = {"interactions": known(raw), "pairs": known_pairs(raw), "template_severity": P.template_severity(templates(raw), graded(raw)), "concepts": named}
+    store.publish(tables, folder, {"interactions": ["a", "b"], "pairs": ["a", "b"], "template_severity": ["template"], "concepts": ["concept"]}, {"source": "orders"})
+
+
+_BASES: dict[tuple[str, str], str] = {}
+
+
+def knowledge_base(spark, d) -> str:
+    """The folder of the stored knowledge base, built once a session; checks read it from there."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BASES:
+        folder = new_folder(spark, "knowledge-base")
+        write_knowledge_base(raw_pairs(spark, d), folder, concepts(spark, d))
+        _BASES[key] = folder
+    return _BASES[key]
+
+
+def stored_known(spark, d) -> DataFrame:
+    return store.load(spark, knowledge_base(spark, d), "interactions")
+
+
 def rule_members(spark, d) -> DataFrame:
     rules = spark.createDataFrame([(n, s, t) for n, *sides in RULES for s, types in zip("AB", sides, strict=True) for t in types], "rule_no int, side string, kind string")
     p = table(spark, d, "part").select("p_type", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("item"))
@@ -44,7 +68,7 @@ def rule_members(spark, d) -> DataFrame:
 
 
 def checked(spark, d) -> DataFrame:
-    return C.check(entries(spark, d), concepts(spark, d), known(raw_pairs(spark, d)), rule_members(spark, d))
+    return C.check(entries(spark, d), store.load(spark, knowledge_base(spark, d), "concepts"), stored_known(spark, d), rule_members(spark, d))
 
 
 _MEMBERS = ", ".join(f"({n}, '{s}', '{t}')" for n, *sides in RULES for s, types in zip("AB", sides, strict=True) for t in types)
@@ -84,8 +108,7 @@ def q_check(spark, d):
 
 @query(SQL_CHECK + " SELECT a, b, n AS n_mechanisms, derived, top FROM mech")
 def q_mechanisms(spark, d):
-    raw = raw_pairs(spark, d)
-    m = known(raw).filter("mechanisms is not null")
+    m = stored_known(spark, d).filter("mechanisms is not null")
     top = F.array_join(F.transform(F.slice("mechanisms", 1, 3), lambda x: x["template"]), "|")
     return m.select("a", "b", F.size("mechanisms").cast("long").alias("n_mechanisms"), F.col("mechanisms")[0]["severity"].alias("derived"), top.alias("top"))
 
@@ -99,7 +122,7 @@ def q_route_variant(spark, d):
 def q_route_fallback(spark, d):
     """Pairs that no source covers, with the concepts that are checked instead."""
     pairs = C.list_pairs(C.concepts_of(entries(spark, d), concepts(spark, d)))
-    first = C.with_rules(C.looked_up(pairs, known(raw_pairs(spark, d))), rule_members(spark, d))
+    first = C.with_rules(C.looked_up(pairs, stored_known(spark, d)), rule_members(spark, d))
     open_ = first.filter((F.col("status") == "NOT_COVERED") & (F.col("a_route").isNotNull() | F.col("b_route").isNotNull()))
     moved = C._systemic(open_.select(*pairs.columns, F.col("a_concept").alias("was_a"), F.col("b_concept").alias("was_b")), concepts(spark, d))
     return moved.select("list_id", "was_a", "was_b", F.col("a_concept").alias("a"), F.col("b_concept").alias("b"))
@@ -109,7 +132,7 @@ def q_route_fallback(spark, d):
 def q_pair_lookup(spark, d):
     """Records of asked pairs: part and supplier numbers of line items, taken as concepts."""
     asked = P.canonical_pairs(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
-    k = known(raw_pairs(spark, d))
+    k = stored_known(spark, d)
     return k.join(asked, ["a", "b"], "left_semi").select("a", "b", "level", F.coalesce(F.size("mechanisms"), F.lit(0)).cast("long").alias("n_mechanisms"))
 
 
@@ -173,8 +196,13 @@ def q_slice(spark, d):
     return sorted_.select("list_id", "n", F.array_join(F.transform(F.slice("x", 1, 20), lambda p: p["text"]), "; ").alias("first"))
 
 
-def write_knowledge_base(raw: DataFrame, folder: str) -> None:
-    """The knowledge base as tables in a folder: pairs with what each source has, and severities of templates; an earlier one is replaced."""
-    raw = written(raw)
-    known(raw).write.mode("overwrite").parquet(f"{folder}/interactions")
-    P.template_severity(templates(raw), graded(raw)).write.mode("overwrite").parquet(f"{folder}/template_severity")
+@query(f"WITH {SQL_KNOWN} SELECT a, b, severity, derived, sources FROM known")
+def q_kb_reload(spark, d):
+    """The base as it is read back from its stored version."""
+    return store.load(spark, knowledge_base(spark, d), "pairs")
+
+
+@query(SQL_CHECK + " SELECT 'concepts' AS name, count(*) AS n FROM part UNION ALL SELECT 'interactions', count(*) FROM kb UNION ALL SELECT 'pairs', count(*) FROM kb UNION ALL SELECT 'template_severity', count(*) FROM severity")
+def q_kb_meta(spark, d):
+    """What the stored version says of its tables."""
+    return store.counts(spark, knowledge_base(spark, d))

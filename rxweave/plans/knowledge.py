@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import pairs as P
-from ..operators.shared import written
 from ..sources.tables import table
-from .registry import query
+from .registry import query, stored
 
 LEVELS = {"1-URGENT": "Major", "2-HIGH": "Moderate", "3-MEDIUM": "Minor"}
 RULES = [(1, ["PROMO"], ["ECONOMY", "LARGE"]), (2, ["SMALL"], ["SMALL", "PROMO"])]
@@ -46,13 +45,18 @@ known AS MATERIALIZED (
 
 
 def raw_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(list_id, a, b, source, priority, template, severity): what the base is built from, made once a session."""
+    return stored(spark, d, "raw-pairs", _raw_pairs)
+
+
+def _raw_pairs(spark: SparkSession, d: str) -> DataFrame:
     lists = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("list_id"), F.col("l_partkey").alias("p"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("list_id"), F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("priority"))
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("a"), F.col("p_type").alias("template"))
     orders = orders.filter("source in ('O', 'F')")
     level = F.coalesce(*(F.when(F.col("priority") == k, v) for k, v in LEVELS.items()), F.lit("Unknown"))
-    # Lists of other orders go before they are paired; the pairs are written, since several branches read them.
-    return written(P.pairs_in_lists(lists.join(orders.select("list_id"), "list_id", "left_semi"), "list_id", "p").join(orders, "list_id").join(parts, "a").withColumn("severity", level))
+    # Lists of other orders go before they are paired.
+    return P.pairs_in_lists(lists.join(orders.select("list_id"), "list_id", "left_semi"), "list_id", "p").join(orders, "list_id").join(parts, "a").withColumn("severity", level)
 
 
 def graded(raw: DataFrame) -> DataFrame:
@@ -90,6 +94,14 @@ def q_aligned_lists(spark, d):
     return t.groupBy("a", "b").agg(F.array_join(F.sort_array(F.collect_list("template")), "|").alias("templates"), F.count("*").alias("n"))
 
 
+@query(f"WITH {SQL_PAIRS}, t AS (SELECT DISTINCT a, b, template, template || ' of ' || severity AS text FROM raw WHERE source = 'F') SELECT a, b, string_agg(template, '|' ORDER BY template, text) AS templates, string_agg(text, '|' ORDER BY template, text) AS descriptions FROM t GROUP BY a, b")
+def q_aligned_descriptions(spark, d):
+    """Templates and descriptions of each pair, distinct and in one order, so that the n-th of one list belongs to the n-th of the other."""
+    rows = raw_pairs(spark, d).filter("source = 'F'").select("a", "b", "template", F.concat("template", F.lit(" of "), "severity").alias("text"))
+    held = rows.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("template", "text"))).alias("x"))
+    return held.select("a", "b", F.array_join("x.template", "|").alias("templates"), F.array_join("x.text", "|").alias("descriptions"))
+
+
 @query(f"WITH {SQL_PAIRS} SELECT template, derived_severity, n_pairs, n_graded, share_major FROM severity")
 def q_template_severity(spark, d):
     raw = raw_pairs(spark, d)

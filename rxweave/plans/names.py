@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import names as O
+from ..operators import similarity as X
 from ..sources.tables import table
 from .registry import query
 
@@ -68,7 +69,9 @@ def q_classify(spark, d):
 
 @query(f"WITH {SQL_RAW} SELECT DISTINCT raw, drugs, score FROM known WHERE k = 8")
 def q_fuzzy(spark, d):
-    names = raw_names(spark, d).filter("p_partkey % 12 in (8, 9)").select("raw", N.stripped(N.cleaned(N.simplified(F.col("raw")))).alias("t")).distinct()
+    """Names that no earlier stage knows, by the surface that is most like them."""
+    left = O.normalize(raw_names(spark, d), lexicon(spark, d), fuzzy=False).filter("stage = 'unmapped'")
+    names = left.select("raw", N.stripped(N.cleaned(N.simplified(F.col("raw")))).alias("t"))
     return O.similar_names(names, lexicon(spark, d)).select("raw", F.array_join("drugs", "|").alias("drugs"), "score")
 
 
@@ -128,3 +131,10 @@ def q_clean(spark, d):
 def q_strip_words(spark, d):
     salted = F.concat_ws(" ", "p_name", F.lit("hcl sodium"), F.when(F.col("p_partkey") % 2 == 0, "er tablet").otherwise("q12h prn"))
     return table(spark, d, "part").select("p_partkey", N.stripped(salted).alias("stripped"))
+
+
+@query()
+def q_token_set(spark, d):
+    """The three parts whose words are most like those of each part with a number divisible by 20, by token-set ratio.  SQL has no common subsequence: tests hold it against a plain search."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    return X.nearest_by_tokens(rows.filter("id % 20 = 0"), rows, 3).withColumn("score", F.round("score", 6))

@@ -176,7 +176,7 @@ def _medications(spark, d) -> DataFrame:
     full = full.withColumn("key", U.group_key(F.array("name"), F.col("norm_status"), F.col("name")))
     has = T.sections(rows).select("note_id", F.exists("sections", lambda x: x["kind"] == "discharge").alias("has_discharge"))
     strengths = full.groupBy("note_id", "key").agg(F.min(F.when(F.col("section") == "admission", F.col("strength"))).alias("before"), F.min(F.when(F.col("section") == "discharge", F.col("strength"))).alias("after"))
-    return (U.medications(full, has).join(strengths, ["note_id", "key"]).withColumn("name", F.substring("key", 3, 1000)))
+    return (U.medications(full, has).join(strengths, ["note_id", "key"]).withColumn("name", F.substring("key", F.lit(3), F.length("key"))))
 
 
 SQL_MEDS = f"""WITH {SQL_NOTES}, meds AS MATERIALIZED (SELECT note_id, k, lower(nm) AS name, n.dis AS has_discharge, rf <> 'R' AS in_admission, st = 'O' AND n.dis AS in_discharge, rf = 'R' AS held, st = 'F' AND NOT n.dis AS denied, q, said.i,

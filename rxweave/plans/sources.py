@@ -50,12 +50,12 @@ def q_split_list(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(S.alias_list(F.upper("p_name"), aliases), "|").alias("names"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, '[^\\x{00}-\\x{FF}]', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
 def q_decode(spark, d):
-    """Uploads in UTF-8 with a byte order mark, or else in Latin-1."""
-    docs = table(spark, d, "documents").filter("text is not null").withColumn("text", F.regexp_replace("text", r"[^\x{00}-\x{FF}]", ""))
-    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))
-    content = F.when(F.col("lang") == "en", marked).otherwise(F.encode("text", "ISO-8859-1"))
+    """Whole texts, uploaded in UTF-8 with a byte order mark, in Latin-1 where that has all of their characters, or in UTF-8 without a mark."""
+    docs = table(spark, d, "documents").filter("text is not null")
+    plain = F.encode("text", "UTF-8")
+    content = F.when(F.col("lang") == "en", F.concat(F.unhex(F.lit("EFBBBF")), plain)).when(F.col("text").rlike(r"^[\x{00}-\x{FF}]*$"), F.encode("text", "ISO-8859-1")).otherwise(plain)
     return docs.select("doc_id", F.md5(R.decoded(content).cast("binary")).alias("digest"))
 
 
@@ -99,7 +99,7 @@ def annotations(spark, d) -> DataFrame:
 
 @query(f"WITH {SQL_ANN} SELECT o AS note_id, 'T' || (2 * i - 1) AS id, 'Drug' AS type, q * 10 AS start, q * 10 + 9 AS \"end\", 'drug' || p || CASE WHEN q % 3 = 0 THEN chr(10) || 'more' ELSE '' END AS text FROM x UNION ALL SELECT o, 'T' || (2 * i), 'Strength', q * 10 + 10, q * 10 + 12, q::VARCHAR FROM x")
 def q_parse_lines(spark, d):
-    return R.standoff(annotations(spark, d))[0]
+    return R.standoff(annotations(spark, d))[0].drop("spans")
 
 
 @query(f"WITH {SQL_ANN} SELECT o AS note_id, 'drug' || p || CASE WHEN q % 3 = 0 THEN chr(10) || 'more' ELSE '' END AS drug, 'Strength' AS type, q::VARCHAR AS value FROM x")

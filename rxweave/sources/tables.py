@@ -43,10 +43,10 @@ def decoded(content: Column) -> Column:
 
 
 def standoff(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities (note_id, id, type, start, end, text) and relations (note_id, id, type, arg1, arg2) from rows (note_id, ann).
+    """Entities (note_id, id, type, start, end, text, spans) and relations (note_id, id, type, arg1, arg2) from rows (note_id, ann).
 
-    A line that begins with none of T, R and # continues the entity above it.  Of discontiguous spans the first start and
-    the last end count.
+    A line that begins with none of T, R and # continues the entity above it.  start and end are the first start and the last end of
+    an entity; spans are all of its pieces, array<struct<start, end>>, in the order of the file, one for an entity in one piece.
     """
     lines = annotations.select("note_id", F.posexplode(F.split("ann", "\n")).alias("no", "line")).filter("line not like '#%'")
     from pyspark.sql import Window
@@ -54,9 +54,11 @@ def standoff(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
     group = F.sum(F.col("line").rlike(r"^[TR][0-9]+\t").cast("int")).over(Window.partitionBy("note_id").orderBy("no"))
     whole = lines.withColumn("group", group).groupBy("note_id", "group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n").alias("line"))
     part = lambda k: F.split("line", "\t", 3)[k]
-    spans = F.split(F.regexp_replace(part(1), r"^\S+ ", ""), "[ ;]")
+    places = F.regexp_replace(part(1), r"^\S+ ", "")
+    spans = F.split(places, "[ ;]")
+    pieces = F.transform(F.split(places, ";"), lambda p: F.struct(F.split(p, " ")[0].cast("int").alias("start"), F.split(p, " ")[1].cast("int").alias("end")))
     entities = whole.filter("line rlike '^T[0-9]+\\t'").select(
-        "note_id", part(0).alias("id"), F.regexp_extract(part(1), r"^\S+", 0).alias("type"), spans[0].cast("int").alias("start"), F.element_at(spans, -1).cast("int").alias("end"), F.rtrim(part(2)).alias("text")
+        "note_id", part(0).alias("id"), F.regexp_extract(part(1), r"^\S+", 0).alias("type"), spans[0].cast("int").alias("start"), F.element_at(spans, -1).cast("int").alias("end"), F.rtrim(part(2)).alias("text"), pieces.alias("spans")
     )
     arg = lambda k: F.regexp_extract("line", rf"Arg{k}:(\S+)", 1)
     relations = whole.filter("line rlike '^R[0-9]+\\t'").select("note_id", part(0).alias("id"), F.regexp_extract(part(1), r"^\S+", 0).alias("type"), arg(1).alias("arg1"), arg(2).alias("arg2"))

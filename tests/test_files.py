@@ -113,7 +113,7 @@ def test_stops_in_between(spark, tmp_path, monkeypatch, stop):
     """Before the commit nothing is added, and the batch can be added again; after it the rest is carried out by whoever comes next."""
     from rxweave.operators import logs
 
-    folder, move = f"file://{tmp_path}/log", logs._Files.move
+    folder, move = f"file://{tmp_path}/log", logs.Files.move
     logs.append(log_rows(spark, 0, 1), folder, "w", 0)
 
     def stopped(self, source, target):
@@ -121,10 +121,10 @@ def test_stops_in_between(spark, tmp_path, monkeypatch, stop):
             raise RuntimeError("stopped")
         move(self, source, target)
 
-    monkeypatch.setattr(logs._Files, "move", stopped)
+    monkeypatch.setattr(logs.Files, "move", stopped)
     with pytest.raises(RuntimeError):
         logs.append(log_rows(spark, 2, 3), folder, "w", 1)
-    monkeypatch.setattr(logs._Files, "move", move)
+    monkeypatch.setattr(logs.Files, "move", move)
     assert logs.append(log_rows(spark, 2, 3), folder, "w", 1) == (stop == "commits/")
     assert logs.append(log_rows(spark, 4), folder, "w", 2)
     log = spark.read.parquet(f"{folder}/entries")
@@ -136,10 +136,10 @@ def test_two_writers(spark, tmp_path, monkeypatch):
     """Who commits second on the same state gets an error and adds nothing."""
     from rxweave.operators import logs
 
-    folder, names = f"file://{tmp_path}/log", logs._Files.names
+    folder, names = f"file://{tmp_path}/log", logs.Files.names
     logs.append(log_rows(spark, 0, 1), folder)
-    monkeypatch.setattr(logs._Files, "names", lambda self, name: [] if name == "commits" else names(self, name))
+    monkeypatch.setattr(logs.Files, "names", lambda self, name: [] if name == "commits" else names(self, name))
     with pytest.raises(Exception, match="AlreadyExists"):
         logs.append(log_rows(spark, 2), folder)
-    monkeypatch.setattr(logs._Files, "names", names)
+    monkeypatch.setattr(logs.Files, "names", names)
     assert spark.read.parquet(f"{folder}/entries").count() == 2 and logs.append(log_rows(spark, 2), folder)
