@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, let, table
-from .spans import matches
+from .spans import cut_out, matches, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, with possessive repeats where what follows can't need what they took, so that no text takes quadratic time.
@@ -129,10 +129,14 @@ def _checked(kind: str, m: Column) -> Column:
 def _candidates(text: Column, kind: str, known: tuple[str, ...]) -> Column:
     """array<struct<s, e, base, loose, votes, shape>> of a kind: strict matches, whether they pass or not, and loose ones that overlap no base span."""
 
-    def described(m: Column, strict: bool) -> Column:
-        good = valid(kind, m["m"]) if strict else F.lit(False)
-        before = F.substring(text, F.greatest(m["s"] + 1 - BEFORE, F.lit(1)), F.least(m["s"], F.lit(BEFORE)))
-        after = F.substring(text, m["e"] + 1, F.lit(16))
+    def described(m: Column, strict: bool, parts: Column) -> Column:
+        beside = F.struct(
+            cut_out(parts, F.greatest(m["s"] - BEFORE, F.lit(0)), F.least(m["s"], F.lit(BEFORE))).alias("before"), cut_out(parts, m["e"], 16).alias("after"),
+            (valid(kind, m["m"]) if strict else F.lit(False)).alias("good"),
+        )
+        return let(beside, lambda x: judged(m, strict, x["before"], x["after"], x["good"]))
+
+    def judged(m: Column, strict: bool, before: Column, after: Column, good: Column) -> Column:
         gaps = F.size(F.array_distinct(F.regexp_extract_all(m["m"], F.lit(r"[^0-9A-Za-z@+()]"), F.lit(0))))
         votes = (
             F.when(good, 1).otherwise(-1 if strict else 0),
@@ -147,17 +151,18 @@ def _candidates(text: Column, kind: str, known: tuple[str, ...]) -> Column:
         shape = (F.least(F.floor(length / 8), F.lit(4)).cast("int"), F.floor(4 * digits / length).cast("int"))
         return F.struct(m["s"].alias("s"), m["e"].alias("e"), good.alias("base"), F.lit(not strict).alias("loose"), *(v.alias(n) for v, n in zip(votes, VOTES, strict=True)), *(v.alias(n) for v, n in zip(shape, SHAPE, strict=True)))
 
-    strict = F.transform(matches(text, STRICT[kind]), lambda m: described(m, True))
-    loose = F.transform(matches(text, LOOSE[kind]), lambda m: described(m, False))
+    def with_loose(found: Column, parts: Column) -> Column:
+        loose = F.transform(matches(text, LOOSE[kind]), lambda m: described(m, False, parts))
+        apart = lambda base: F.filter(loose, lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+        return F.concat(found, let(F.filter(found, lambda b: b["base"]), apart))
 
-    def with_loose(found: Column) -> Column:
-        apart = lambda c: ~F.exists(found, lambda b: b["base"] & (b["s"] < c["e"]) & (c["s"] < b["e"]))
-        return F.concat(found, F.filter(loose, apart))
+    def both(parts: Column) -> Column:
+        return let(F.transform(matches(text, STRICT[kind]), lambda m: described(m, True, parts)), lambda found: with_loose(found, parts))
 
     # A text without a first hint of the kind is not searched.
     hint = {"email": r"@|[\[(]\x20?(?:at|AT)", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9][0-9]|[0-9][ -][0-9]", "phone": r"\+[0-9]|[0-9]{3}\)?[\x20.-][0-9]{3}"}[kind]
     none = "s:int,e:int,base:boolean,loose:boolean," + ",".join(f"{v}:int" for v in (*VOTES, *SHAPE))
-    return F.when(text.rlike(hint), let(strict, with_loose)).otherwise(F.array().cast(f"array<struct<{none}>>"))
+    return F.when(text.rlike(hint), let(pieces(text), both)).otherwise(F.array().cast(f"array<struct<{none}>>"))
 
 
 def candidates(docs: DataFrame, gazetteer: dict[str, tuple[str, ...]] = GAZETTEER) -> DataFrame:

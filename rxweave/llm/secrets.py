@@ -20,8 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .spans import matches
+from .common import cut, let, table
+from .spans import cut_out, matches, pieces
 
 RUN = r"[A-Za-z0-9+/_-]{16,}+={0,2}"
 #: What stands before a candidate in a match: a secret's name and a sign, or any name and "="; tried at the begin of a word only.
@@ -119,17 +119,22 @@ def summed(words: Column, odds: dict[str, float]) -> Column:
 
 def covered(m: Column, words: tuple[str, ...]) -> Column:
     """The share of a candidate's characters that dictionary words cover, the longest at each place."""
-    lower, n, (least, most) = F.lower(m), F.length(m), WORD_LETTERS
+    least, most = WORD_LETTERS
     known = tuple(w for w in words if least <= len(w) <= most)
 
-    def at(i: Column) -> Column:
-        sizes = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda k: F.substring(lower, i, k).isin(*known))
+    def at(gram: Column, i: Column, n: Column) -> Column:
+        sizes = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda k: F.left(gram, k).isin(*known))
         # A word cut off by the end is shorter than asked for, and found with its own length as well.
-        return F.struct((i - 1).alias("b"), F.least(F.coalesce(F.array_max(sizes), F.lit(0)), n - i + 1).alias("k"))
+        return F.struct(i.alias("b"), F.least(F.coalesce(F.array_max(sizes), F.lit(0)), n - i).alias("k"))
+
+    def share(x: Column) -> Column:
+        parts, n = x["parts"], x["n"]
+        # What begins at each place, as far as a word may reach.
+        places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: let(cut_out(parts, i, most), lambda gram: at(gram, i, n)))
+        step = lambda acc, p: F.struct((acc["n"] + F.greatest(F.lit(0), p["b"] + p["k"] - F.greatest(acc["end"], p["b"]))).alias("n"), F.greatest(acc["end"], p["b"] + p["k"]).alias("end"))
+        return F.aggregate(F.filter(places, lambda p: p["k"] > 0), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"]) / n
 
-    places = F.filter(F.transform(F.sequence(F.lit(1), n), at), lambda p: p["k"] > 0)
-    step = lambda acc, p: F.struct((acc["n"] + F.greatest(F.lit(0), p["b"] + p["k"] - F.greatest(acc["end"], p["b"]))).alias("n"), F.greatest(acc["end"], p["b"] + p["k"]).alias("end"))
-    return F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"]) / n
+    return let(F.struct(pieces(F.lower(m)).alias("parts"), F.length(m).alias("n")), share)
 
 
 def followed(m: Column, follows: tuple[float, ...]) -> Column:
@@ -177,16 +182,16 @@ def features(m: Column, before: Column, after: Column, path: Column, known: Back
 def _found(docs: DataFrame, path: str | None) -> DataFrame:
     """(doc_id, path, start_at, end_at, candidate, before, after), one row per candidate."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    beside = F.transform(
-        F.transform(matches(text, CANDIDATE), lambda m: F.struct(m["e"].alias("e"), F.regexp_extract(m["m"], CUT, 1).alias("c"))),
-        lambda m: F.struct(
-            (m["e"] - F.length(m["c"])).alias("start_at"), m["e"].alias("end_at"), m["c"].alias("candidate"),
-            F.substring(text, F.greatest(m["e"] - F.length(m["c"]) + 1 - BESIDE, F.lit(1)), F.least(m["e"] - F.length(m["c"]), F.lit(BESIDE))).alias("before"),
-            F.substring(text, m["e"] + 1, F.lit(BESIDE)).alias("after"),
-        ),
-    )
+    named = F.transform(matches(text, CANDIDATE), lambda m: F.struct(m["e"].alias("e"), F.regexp_extract(m["m"], CUT, 1).alias("c")))
+
+    def beside(parts: Column) -> Column:
+        return F.transform(named, lambda m: let(m["e"] - F.length(m["c"]), lambda s: F.struct(
+            s.alias("start_at"), m["e"].alias("end_at"), m["c"].alias("candidate"),
+            cut_out(parts, F.greatest(s - BESIDE, F.lit(0)), F.least(s, F.lit(BESIDE))).alias("before"), cut_out(parts, m["e"], BESIDE).alias("after"),
+        )))
+
     place = F.col(path) if path else F.lit("")
-    return docs.filter(text.rlike(CANDIDATE)).select("doc_id", place.alias("path"), F.explode(beside).alias("c")).select("doc_id", "path", "c.*")
+    return docs.filter(text.rlike(CANDIDATE)).select("doc_id", place.alias("path"), F.explode(let(pieces(text), beside)).alias("c")).select("doc_id", "path", "c.*")
 
 
 def candidates(docs: DataFrame, path: str | None, known: Background | None = None) -> DataFrame:
