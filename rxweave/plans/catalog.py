@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, checker, evaluation, examples, fields, knowledge, lexicon, links, names, notes, prediction, review, scoring, sources, storage, texts  # noqa: F401  they register their queries
+from . import analysis, checker, evaluation, examples, extraction, fields, knowledge, lexicon, links, names, notes, prediction, review, scoring, sources, storage, texts  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "q_report"

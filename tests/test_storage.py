@@ -118,3 +118,26 @@ def test_few_shot(spark):
         best = sorted((j for j in scores if scores[j] > 0), key=lambda j: (-round(scores[j], 9), j))[:2]
         assert [m.role for m in messages] == ["system", *["user", "assistant"] * len(best), "user"] and messages[-1].content == texts[i]
         assert [json.loads(m.content)["meds"][0][7] for m in messages[2:-1:2]] == [str(j) for j in best]
+
+
+def test_modes_of_extraction(spark):
+    from rxweave.operators import extraction as X
+
+    notes = spark.createDataFrame([(1, [(90, 120)], True), (2, [], False)], "note_id int, labs array<struct<s:int,e:int>>, available boolean")
+    model = spark.createDataFrame([(1, 0, 10, "llm"), (1, 30, 40, "propagated"), (2, 0, 10, "llm")], "note_id int, s int, e int, source string")
+    entities = spark.createDataFrame([(1, 5, 35, "aspirin x"), (1, 50, 57, "aspirin"), (1, 52, 60, "aspirin"), (1, 70, 75, "patient"), (1, 100, 107, "aspirin"), (2, 0, 7, "aspirin")], "note_id int, s int, e int, name string")
+    dictionary = spark.createDataFrame([(1, 56, 66), (1, 80, 88), (2, 0, 7), (2, 20, 27)], "note_id int, s int, e int")
+    drugs = spark.createDataFrame([("aspirin",)], "name string")
+    got = lambda mode: {(r.note_id, r.s, r.mode): "+".join(r.sources) for r in X.combined(notes, model, entities, dictionary, drugs, mode).collect()}
+    fallback = {(2, 0, "rules"): "scispacy", (2, 20, "rules"): "dictionary"}
+    assert got("llm") == {(1, 0, "llm"): "llm+scispacy", (1, 30, "llm"): "propagated"} | fallback
+    assert got("hybrid") == {(1, 0, "hybrid"): "llm+scispacy", (1, 30, "hybrid"): "propagated", (1, 50, "hybrid"): "scispacy", (1, 80, "hybrid"): "dictionary"} | fallback
+    assert got("scispacy") == {(1, 50, "scispacy"): "scispacy", (2, 0, "scispacy"): "scispacy"}
+    assert got("rules") == {(1, 50, "rules"): "scispacy", (1, 80, "rules"): "dictionary"} | fallback
+    with pytest.raises(ValueError, match="mode"):
+        X.combined(notes, model, entities, dictionary, drugs, "all")
+    values = lambda *r: spark.createDataFrame([(1, 1, *x) for x in r], "note_id int, no int, kind string, value string")
+    own, ruled = values(("Strength", "5 mg"), ("Dosage", "two"), ("Route", "PO")), values(("Strength", "6 mg"), ("Route", "IV"), ("Form", "Tablet"))
+    merged = lambda mode: {r.kind: (r.value, r.source) for r in X.merged_attributes(own, ruled, mode).collect()}
+    assert merged("hybrid") == {"Strength": ("5 mg", "llm"), "Route": ("IV", "rules"), "Form": ("Tablet", "rules")}
+    assert merged("llm") == {"Strength": ("5 mg", "llm"), "Dosage": ("two", "llm"), "Route": ("PO", "llm")} and set(merged("rules")) == {"Strength", "Route", "Form"}
