@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, table
+from .common import cut, fresh, let, table
 from .places import numbered
 
 FAN = 3
@@ -106,12 +106,13 @@ def manifest(rows: DataFrame, node: str = "leaf", group: str = "source", order:
 
     Within a group leaves ascend by order, nulls first, then by digest: rows that tie there are alike, and either way round gives the same
     tree.  A null group is a group, the first.  A group of one row has its leaf as subroot, a single subroot is the root, and either adds nothing
-    to the path.  An empty table stays empty.  Columns of rows named subroot, root or path make the names ambiguous; rename them before.
+    to the path.  An empty table stays empty.  Where rows has a column of such a name already, the new one gets an underscore more.
     """
+    names = fresh(rows.columns, "subroot", "root", "path")
     packed = rows.select(F.struct(group).alias("grp"), *(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), F.col(node).alias("node"), F.struct("*").alias("own"))
     keys = [*(f"o{k}" for k in range(len(order))), "node"]
     placed = numbered(packed, ["grp"], keys, "place", "total").select("grp", "place", "total", "node", "own")
-    return _climb(placed, levels).select("own.*", F.col("tops")[0].alias("subroot"), F.col("tops")[1].alias("root"), "path")
+    return _climb(placed, levels).select("own.*", F.col("tops")[0].alias(names[0]), F.col("tops")[1].alias(names[1]), F.col("path").alias(names[2]))
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,7 @@ def test_manifest(spark, docs):
                 assert (r.subroot, r.root) == (subroots[s], root)
             assert {k: sorted(v) for k, v in want.items()} == {k: sorted(v) for k, v in have.items()}
     assert merkle.manifest(rows.limit(0)).count() == 0
+    assert merkle.manifest(rows.limit(3).withColumn("path", F.lit("p"))).columns[-4:] == ["path", "subroot", "root", "path_"]
     one = merkle.manifest(rows.limit(1)).first()
     assert one.path == [] and one.root == one.subroot == one.leaf
     folded = found.select(merkle.folded(F.col("leaf"), F.col("path")).alias("f"), "root", merkle.folded(F.reverse("leaf"), F.col("path")).alias("g")).collect()
