@@ -7,8 +7,10 @@ n - ceil(t n) + 1 of both.  Pairs that meet go through the pigeonring: somewhere
 cumulative differences stay within proportional budgets at every length.  Then comes the full Hamming distance, and for who is left
 the similarity of the whole sets.  The budget (see bits_allowed) lies far above what the bound on similarity makes likely.
 
-No group is compared as a whole and none is gathered.  Members of a group are first held against one of them; groups that
-this leaves in several parts go on, the members outside the largest part against all, in blocks of bounded size.
+No group is gathered.  Members of a group are first held against one of them; groups that this leaves in several parts go on, the
+members outside the largest part against all, in pairs of blocks that pass through a task in order.  There a shingle's place in the
+order says how many before it the other text lacks, and parities of shingles in buckets how many the two differ in at least: both
+are bounds that no pair of the similarity exceeds, and in a family of copies few others are left for the whole sets.
 """
 
 from __future__ import annotations
@@ -35,8 +37,10 @@ BITS = SEGMENTS * WIDTH
 #: Shingles that are counted together, the count there from which one is reported, and how many are put last at most.  They set the
 #: order of shingles, and with it the work; the result is the same for any order.
 TOGETHER, OFTEN, LISTED = 1_000_000, 4, 200_000
-#: Members of a block, as expected.
-BLOCK = 512
+#: Members of a block, as expected, and pairs that are held against each other together.
+BLOCK, PAIRS = 2048, 1 << 17
+#: Buckets of a parity sketch: a power of two, at least twice the shingles, within these bounds.
+FEWEST, MOST = 64, 1 << 16
 #: Bytes of text that are cut into words together.
 AT_ONCE = 1 << 20
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -119,6 +123,34 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int(low), int(high)
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """Bits that say whether a bucket has an odd number of the shingles.  Sets that differ in d shingles differ in d bits at most."""
+    size = FEWEST
+    while size < min(MOST, 2 * len(shingles)):
+        size *= 2
+    at = (shingles & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=size) & 1, bitorder="little").tobytes()
+
+
+def parities_apart(data: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits that sketches i and j differ in; each has size bytes of data from start.  The larger one's parts are laid over each other first."""
+    both, out = np.minimum(size[i], size[j]), np.zeros(len(i), np.int64)
+
+    def laid(which: np.ndarray, small: int) -> np.ndarray:
+        rows = np.zeros((len(which), small), np.uint8)
+        for large in np.unique(size[which]).tolist():
+            at = np.flatnonzero(size[which] == large)
+            rows[at] = np.bitwise_xor.reduce(data[start[which[at], None] + np.arange(large)].reshape(len(at), -1, small), axis=1)
+        return rows.view(np.uint64)
+
+    for small in np.unique(both).tolist():
+        at = np.flatnonzero(both == small)
+        for k in range(0, len(at), step := max(1, (1 << 22) // small)):
+            part = at[k : k + step]
+            out[part] = np.bitwise_count(laid(i[part], small) ^ laid(j[part], small)).sum(1, dtype=np.int64)
+    return out
+
+
 def _often(words: int):
     """(s, times): shingles that many different texts of a task have, counted over all of its texts, a bounded number of shingles at a time."""
 
@@ -194,32 +226,37 @@ def _described(words: int, common: tuple[np.ndarray, np.ndarray], least: Fractio
                     [
                         part.column(0), part.column(2), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array([len(s) for s in sets], np.int32)),
                         *(pa.array(np.array([p[k] for p in prints], np.int64)) for k in range(2)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes))),
+                        pa.array([parities(s) for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "text_hash", "key", "n", "low", "high", "prefix"],
+                    ["doc_id", "text_hash", "key", "n", "low", "high", "prefix", "odd"],
                 )
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (s, key) in order, those whose s has another key as well, once."""
-    s = k = np.zeros(0, np.int64)
+    """Of rows (s, key, at) in order, those whose s has another key as well, once."""
+    kinds = np.int64, np.int64, np.int32
+    rows = [np.zeros(0, t) for t in kinds]
     matched = False  # whether the row held back has the s of one before it
+    batch_of = lambda found: pa.RecordBatch.from_arrays([pa.array(r) for r in found], ["s", "key", "at"])
     for batch in batches:
-        s, k = (np.concatenate((held, batch.column(i).to_numpy())) for i, held in enumerate((s, k)))
+        rows = [np.concatenate((held, batch.column(i).to_numpy())) for i, held in enumerate(rows)]
+        s, k, _ = rows
         if not len(s):
             continue
         new = np.concatenate(([True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])))
-        s, k = s[new], k[new]
+        rows = [r[new] for r in rows]
+        s = rows[0]
         same = s[1:] == s[:-1]
         found = np.zeros(len(s), bool)
         found[1:] |= same
         found[:-1] |= same
         found[0] |= matched
-        yield pa.RecordBatch.from_arrays([pa.array(s[:-1][found[:-1]]), pa.array(k[:-1][found[:-1]])], ["s", "key"])
-        s, k, matched = s[-1:], k[-1:], bool(found[-1])
+        yield batch_of([r[:-1][found[:-1]] for r in rows])
+        rows, matched = [r[-1:] for r in rows], bool(found[-1])
     if matched:
-        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(k)], ["s", "key"])
+        yield batch_of(rows)
 
 
 def within_budgets(low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
@@ -280,26 +317,60 @@ def _to_the_first(least: Fraction, most: int):
 
 
 def _across(least: Fraction, most: int):
-    """Of pairs of blocks of a group (lists of key, n, low, high, part, then the same of the other): pairs of different parts that pass."""
+    """Of rows (s, x, y, key, n, low, high, at, part, few, late, odd) in the order of s, x and y, the members of blocks x and y of a group: pairs
+    of different parts that can have the similarity.
+
+    late marks the members of y where that is another block.  Where s is the first shingle that two texts share, neither has
+    those that come before its place in the other; a pair that s fails for this passes under its first one if it is similar.
+    """
+    p, q = least.numerator, least.numerator + least.denominator
+
+    def pairs(cells: pa.Table) -> Iterator[pa.RecordBatch]:
+        s, x, y, key, n, low, high, at, part, few, late = (cells.column(k).to_numpy() for k in range(11))
+        n, low, high = n.astype(np.int64), low.view(np.uint64), high.view(np.uint64)
+        begins = np.flatnonzero(_new_cell(s, x, y))
+        sizes = np.diff(np.append(begins, len(s)))
+        begin, size = np.repeat(begins, sizes), np.repeat(sizes, sizes)
+        odd = pa.concat_arrays(cells.column(11).chunks)
+        offsets = np.frombuffer(odd.buffers()[1], np.int32)[odd.offset : odd.offset + len(odd) + 1]
+        data = np.frombuffer(odd.buffers()[2], np.uint8)
+        rows = np.flatnonzero(few)
+        group = (np.cumsum(size[rows]) - 1) // PAIRS
+        for rows_ in np.split(rows, np.flatnonzero(np.diff(group)) + 1) if len(rows) else []:
+            count = size[rows_]
+            i = np.repeat(rows_, count)
+            j = np.repeat(begin[rows_] - np.cumsum(count) + count, count) + np.arange(len(i))
+            ok = (part[i] != part[j]) & ((x[i] == y[i]) | (late[i] != late[j])) & (~few[j] | (i < j))
+            i, j = i[ok], j[ok]
+            ok = q * np.minimum(n[i] - at[i], n[j] - at[j]) >= p * (n[i] + n[j])
+            i, j = i[ok], j[ok]
+            ok = _near((n, low, high), i, j, least, most)
+            i, j = i[ok], j[ok]
+            both = n[i] + n[j]
+            ok = q * (both - parities_apart(data, offsets[:-1], np.diff(offsets), i, j)) >= 2 * p * both
+            yield _pair_batch(key[i[ok]], key[j[ok]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            found = []
-            for row in range(batch.num_rows):
-                sides = [[batch.column(k)[row].values.to_numpy() for k in range(5 * side, 5 * side + 5)] for side in (0, 1)]
-                key, n, low, high, part = (np.concatenate(x) for x in zip(*sides, strict=True))
-                left, right = np.arange(len(sides[0][0])), len(sides[0][0]) + np.arange(len(sides[1][0]))
-                i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-                apart = part[i] != part[j]
-                i, j = i[apart], j[apart]
-                near = _near((n.astype(np.int64), low.view(np.uint64), high.view(np.uint64)), i, j, least, most)
-                found.append((key[i[near]], key[j[near]]))
-            if found:
-                yield _pair_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, batch])
+            last = int(np.flatnonzero(_new_cell(*(rows.column(k).to_numpy() for k in range(3))))[-1])
+            yield from pairs(rows.slice(0, last))
+            held = rows.slice(last).to_batches()
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
 
     return run
 
 
+def _new_cell(s: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether a row begins another pair of blocks than the row before it belongs to."""
+    return np.concatenate(([True], (s[1:] != s[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(s)]
+
+
 def _shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
@@ -318,11 +389,11 @@ def _shingles(words: int):
 
 
 class _Corpus:
-    """Texts, and what is known of them: (key, text_hash, n, low, high), a row for each set of shingles."""
+    """Texts, and what is known of them: (key, text_hash, n, low, high, odd), a row for each set of shingles."""
 
     def __init__(self, texts: DataFrame, marked: DataFrame, words: int, least: Fraction):
         self.texts, self.words, self.least = texts, words, least
-        self.nodes = cut(marked.groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high")))
+        self.nodes = cut(marked.groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"), F.first("odd").alias("odd")))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those pairs of keys (a, b) whose whole sets have the similarity."""
@@ -339,28 +410,32 @@ class _Corpus:
 def link(texts: DataFrame, marked: DataFrame, words: int, least: Fraction, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between keys that connect just those whose similarity is least or more, directly or over others.
 
-    texts has text, text_hash; marked has key, text_hash, n, low, high, prefix.
+    texts has text, text_hash; marked has key, text_hash, n, low, high, prefix, odd.
     """
     most, corpus = bits_allowed(float(least)), _Corpus(texts, marked, words, least)
-    rows = marked.select(F.explode("prefix").alias("s"), "key")
-    shared = rows.repartition("s").sortWithinPartitions("s", "key").mapInArrow(_shared, "s long, key long")
-    met = cut(shared.join(corpus.nodes.drop("text_hash"), "key").select("s", "key", "n", "low", "high"))
+    rows = marked.select("key", F.posexplode("prefix").alias("at", "s")).select("s", "key", "at")
+    shared = rows.repartition("s").sortWithinPartitions("s", "key").mapInArrow(_shared, "s long, key long, at int")
+    met = cut(shared.join(corpus.nodes.drop("text_hash", "odd"), "key").select("s", "key", "n", "low", "high", "at"))
     first = cut(met.repartition("s").sortWithinPartitions("s", "key").mapInArrow(_to_the_first(least, most), "a long, b long").distinct())
     links = corpus.links(first)
 
     parts = connected(links).select(F.col("node").alias("key"), F.col("root").alias("part"))
     named = cut(met.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")))
-    groups = named.groupBy("s").agg(F.count("*").alias("m"), F.min("part").alias("one"), F.max("part").alias("other")).filter("m > 2 and one <> other")
+    groups = named.groupBy("s").agg(F.count("*").alias("m"), F.min("n").alias("shortest"), F.min("part").alias("one"), F.max("part").alias("other")).filter("m > 2 and one <> other")
     largest = named.groupBy("s", "part").agg(F.count("*").alias("m")).groupBy("s").agg(F.max_by("part", F.struct("m", "part")).alias("largest"))
-    split = groups.select("s", "m").join(largest, "s")
-    outside = named.join(split, "s").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / block)))
-    members = F.collect_list(F.struct("key", "n", "low", "high", "part"))
-    blocks = cut(outside.groupBy("s", "block").agg(members.alias("all"), F.collect_list(F.when(F.col("part") != F.col("largest"), F.struct("key", "n", "low", "high", "part"))).alias("few")))
-    fields = ("key", "n", "low", "high", "part")
-    x = blocks.filter(F.size("few") > 0).select("s", F.col("block").alias("x"), *(F.col(f"few.{c}").alias(f"x_{c}") for c in fields))
-    y = blocks.select("s", F.col("block").alias("y"), *(F.col(f"all.{c}").alias(f"y_{c}") for c in fields))
-    both = x.join(y, "s").select(*(f"{t}_{c}" for t in "xy" for c in fields))
-    second = both.mapInArrow(_across(least, most), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    split = groups.select("s", "m", "shortest").join(largest, "s")
+    # What is left of a text from its place on must be enough for the shortest of the group.
+    p, q = least.numerator, least.numerator + least.denominator
+    outside = named.join(split, "s").filter(q * (F.col("n") - F.col("at")) >= p * (F.col("n") + F.col("shortest")).cast("long"))
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    outside = outside.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    x, y = F.least("own", "o"), F.greatest("own", "o")
+    odd = corpus.nodes.select("key", "odd")
+    cells = outside.join(odd, "key").select(
+        "s", x.alias("x"), y.alias("y"), "key", "n", "low", "high", "at", "part", (F.col("part") != F.col("largest")).alias("few"), (F.col("own") != x).alias("late"), "odd"
+    )
+    pairs = cells.repartition("s", "x", "y").sortWithinPartitions("s", "x", "y").mapInArrow(_across(least, most), "a long, b long")
+    second = pairs.distinct().join(first, ["a", "b"], "left_anti")
     return links.union(corpus.links(cut(second)))
 
 
@@ -373,7 +448,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = LEAST,
     bound = Fraction(str(least))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     common = common_shingles(texts, words)
-    kinds = f"doc_id {dict(texts.dtypes)['doc_id']}, text_hash long, key long, n int, low long, high long, prefix array<long>"
+    kinds = f"doc_id {dict(texts.dtypes)['doc_id']}, text_hash long, key long, n int, low long, high long, prefix array<long>, odd binary"
     marked = cut(texts.mapInArrow(_described(words, common, bound), kinds))
     roots = cut(connected(link(texts, marked, words, bound, block)))
     named = marked.select("doc_id", "text_hash", "key").join(roots, F.col("key") == F.col("node"), "left")

@@ -4,6 +4,7 @@ import random
 
 import brute
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from rxweave.llm import similar
@@ -59,6 +60,45 @@ def test_components(spark, block):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
 
 
+def family(size):
+    """Copies of one text, each with words of its own in a fifth of its places: they meet under many shingles and are alike in hardly any pair."""
+    random.seed(3)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for k in range(size):
+        t = list(base)
+        for at in random.sample(range(300), 6 + k % 12):
+            t[at] = f"x{random.randrange(10**9)}"
+        texts.append(" ".join(t))
+    return dict(enumerate(texts))
+
+
+def test_parities_bound_the_difference():
+    random.seed(5)
+    sets = similar.Shingler()([t for t in {**family(40), **made()}.values()] + [" ".join(f"v{i}" for i in range(n)) for n in (30, 900, 1100)])
+    odd = [np.frombuffer(similar.parities(s), np.uint8) for s in sets]
+    size = np.array([len(o) for o in odd])
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    bits = similar.parities_apart(np.concatenate(odd), np.cumsum(size) - size, size, i, j)
+    differ = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+    n = np.array([len(x) for x in sets])
+    far = (differ > 150) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+    assert (bits <= differ).all() and far.any() and (3 * bits[far] > differ[far]).all()
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_family_leaves_few_pairs(spark, monkeypatch, block):
+    """Pairs whose whole sets are compared stay near the links, though nearly all members of the family meet."""
+    texts, asked = family(240), []
+    links = similar._Corpus.links
+    monkeypatch.setattr(similar._Corpus, "links", lambda self, pairs: asked.append(pairs.count()) or links(self, pairs))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    roots = {r.doc_id: r.root for r in similar.near_duplicates(docs, block=block).collect()}
+    want = components(texts)
+    assert len({(roots[i], want[i]) for i in texts}) == len(set(roots.values())) == len(set(want.values())) > 20
+    assert asked[1] < 3000  # of 28,680
+
+
 def test_stage_on_a_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
