@@ -1,6 +1,8 @@
 """Each operator against a plain definition: null, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import random
+import re
+import time
 import zlib
 
 import brute
@@ -142,6 +144,24 @@ def test_held_out(spark):
         assert r.out == (zlib.crc32(str(r.id).encode()) % 5 == 0)
 
 
+def test_words_of_every_character_and_in_time(spark):
+    """The words that the definition's class gives, for each code point, in much less time than by that class."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    table = spark.createDataFrame([(k, "aB" + "Zq ".join(chars[k : k + 512]) + "9") for k in range(0, len(chars), 512)], "k long, text string")
+    stated = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    for r in table.select("text", decontaminate.words_of(F.col("text")).alias("w"), decontaminate.count_words(F.col("text")).alias("n")).collect():
+        assert r.w == re.findall(stated, brute.lower(r.text)) and r.n == len(r.w)
+    long = spark.range(400).select(F.repeat(F.lit("some words of plain text "), 2000).alias("text")).cache()
+    long.count()
+    times = {}
+    for _ in range(2):
+        for name, count in (("stated", F.regexp_count(F.lower("text"), F.lit(stated))), ("ours", decontaminate.count_words(F.col("text")))):
+            start = time.perf_counter()
+            assert long.agg(F.sum(count)).first()[0] == 400 * 10_000
+            times[name] = time.perf_counter() - start
+    assert times["ours"] < 0.7 * times["stated"]
+
+
 def test_contamination(spark, docs):
     words = [f"w{i % 7}" for i in range(40)]
     items = [(1, " ".join(LONG.split()[50:63])), (2, "g h"), (3, None), (4, "ONE"), (None, "a b c d e f g h i j"), (5, " ".join(words[:12]))]
