@@ -7,6 +7,7 @@ term holds weights at exactly zero until evidence exceeds it, so the model is a
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 STEM = 5
 #: Texts are joined up to so many bytes before they are cut into words together.
 AT_ONCE = 1 << 20
-#: Rows of a file of features, and features that are counted together.
-ROWS_A_FILE, COUNTED = 1000, 2_000_000
+#: Rows of a task that hashes features, rows of a file of features, and features or numbers that are looked at together.
+ROWS_A_TASK, ROWS_A_FILE, COUNTED = 1000, 250, 1_000_000
+#: Texts that are scored at a time.
+TEXTS_AT_ONCE = 500
 WORD_BYTE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
 
@@ -81,7 +84,7 @@ def ftrl_weight(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _features(folder: str):
-    """(path, records): files with the label, the place and the hashes of each row, the bias last."""
+    """(first, no, path, records): files with the label, the place and the hashes of each row, the bias last; first is the place of the first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
@@ -91,29 +94,40 @@ def _features(folder: str):
                 rows = batch.slice(i, ROWS_A_FILE)
                 text, feature = hasher(rows.column(0).to_pylist())
                 edge = np.searchsorted(text, np.arange(rows.num_rows + 1))
-                with_bias = np.insert(feature, edge[1:], 1 << BITS).astype("<i4")
-                arrays = (rows.column(1).to_numpy().astype("<i4"), rows.column(2).to_numpy().astype("<i8"), (np.diff(edge) + 1).astype("<i4"), with_bias)
+                with_bias = np.insert(feature.astype("<i4"), edge[1:], 1 << BITS)
+                place = rows.column(2).to_numpy().astype("<i8")
+                arrays = (rows.column(1).to_numpy().astype("<i4"), place, (np.diff(edge) + 1).astype("<i4"), with_bias)
                 path = write_file(folder, f"features-{part:06d}-{no:04d}", [np.array([rows.num_rows], "<i8").tobytes(), *(x.tobytes() for x in arrays)])
+                yield pa.RecordBatch.from_pydict({"first": place[:1], "no": [no], "path": [path], "records": [rows.num_rows]})
                 no += 1
-                yield pa.RecordBatch.from_pydict({"path": [path], "records": [rows.num_rows]})
+        trim_memory()
 
     return run
 
 
-def _loaded(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(labels, places, edges, hashes) of all rows of the files (path, records); hashes are held once."""
-    labels, places, sizes, hashes = [np.zeros(0, "<i4")], [np.zeros(0, "<i8")], [np.zeros(0, "<i4")], bytearray()
-    for batch in batches:
-        for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            with open_file(path) as f:
-                (n,) = np.frombuffer(f.read(8), "<i8")
-                if n != records:
-                    raise ValueError(f"{path} has {n} rows of {records}")
-                for held, kind in ((labels, "<i4"), (places, "<i8"), (sizes, "<i4")):
-                    held.append(np.frombuffer(f.read(int(n) * np.dtype(kind).itemsize), kind))
-                hashes += f.read()
-    edge = np.concatenate(([0], np.concatenate(sizes).cumsum(dtype=np.int64)))
-    return np.concatenate(labels), np.concatenate(places), edge, np.frombuffer(hashes, "<i4")
+def _read(path: str, records: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(labels, places, edges, hashes) of a file's rows in order, COUNTED hashes or one row at a time."""
+    with open_file(path) as f:
+        (n,) = np.frombuffer(f.read(8), "<i8")
+        if n != records:
+            raise ValueError(f"{path} has {n} rows of {records}")
+        labels, places, sizes = (np.frombuffer(f.read(int(n) * np.dtype(kind).itemsize), kind) for kind in ("<i4", "<i8", "<i4"))
+        edge, i = np.concatenate(([0], sizes.cumsum(dtype=np.int64))), 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(edge, edge[i] + COUNTED, "right")) - 1)
+            yield labels[i:j], places[i:j], edge[i : j + 1] - edge[i], np.frombuffer(f.read(4 * int(edge[j] - edge[i])), "<i4")
+            i = j
+
+
+def _numbered(times: np.ndarray) -> int:
+    """Replace how often each hash occurs by its number, -1 for never, and return how many there are; hashes that occur most come first, within a factor of two."""
+    many = 0
+    for k in reversed(range(int(times.max(initial=0)).bit_length())):
+        found = np.flatnonzero((times >= 1 << k) & (times < 2 << k))
+        times[found] = np.arange(-1 - many, -1 - many - len(found), -1, dtype=np.int32)  # below zero until all are done
+        many += len(found)
+    np.invert(times, out=times)
+    return many
 
 
 def calibration(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -137,30 +151,43 @@ def calibration(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, weight) from all rows of one task, ROUNDS passes in the order of their places; hash 1 << BITS is the bias."""
-    labels, place, edge, feature = _loaded(batches)
-    if not len(labels):
+    """(hash, weight) from all rows of one task, ROUNDS passes in the order of their places; hash 1 << BITS is the bias.
+
+    What is held grows with the hashes that occur, 1 << BITS at most; the features of rows are read from their files in every pass.
+    """
+    trim_memory()
+    files = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    blocks = lambda: (block for _, _, path, records in files for block in _read(path, records))
+    if not files:
         return
     # Hashes are numbered by how often they occur, so that what is read most lies together.
-    number = np.zeros((1 << BITS) + 1, np.int32)
-    for i in range(0, len(feature), COUNTED):
-        found, times = np.unique(feature[i : i + COUNTED], return_counts=True)
+    number, labels, place = np.zeros((1 << BITS) + 1, np.int32), [], []
+    for label, at, _, feature in blocks():
+        found, times = np.unique(feature, return_counts=True)
         number[found] += times.astype(np.int32)
-    hashes = np.flatnonzero(number)
-    hashes = hashes[np.argsort(-number[hashes], kind="stable")]
-    number[hashes] = np.arange(len(hashes), dtype=np.int32)
-    for i in range(0, len(feature), COUNTED):
-        feature[i : i + COUNTED] = number[feature[i : i + COUNTED]]
+        labels.append(label)
+        place.append(at)
+    labels, place = np.concatenate(labels), np.concatenate(place)
+    if (place[1:] < place[:-1]).any():
+        raise ValueError("files of features are not in the order of their places")
+    many = _numbered(number)
     fold = place % FOLDS == 0
     held = np.bincount(labels[fold], minlength=2)
     if min(held) < LEAST_HELD or min(np.bincount(labels[~fold], minlength=2)) == 0:
         fold[:] = False
-    z, n = np.zeros(len(hashes)), np.zeros(len(hashes))
-    order = np.lexsort((labels, place))
-    features = lambda i: feature[edge[i] : edge[i + 1]]
-    rows = [(features(i), float(labels[i])) for i in order[~fold[order]]]
+    z, n = np.zeros(many), np.zeros(many)
+
+    def rows(wanted: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+        """(features, label) of the rows that are wanted."""
+        i = 0
+        for label, _, edge, feature in blocks():
+            feature, edge = number[feature], edge.tolist()
+            for k in np.flatnonzero(wanted[i : i + len(label)]).tolist():
+                yield feature[edge[k] : edge[k + 1]], float(label[k])
+            i += len(label)
+
     for _ in range(ROUNDS):
-        for x, y in rows:
+        for x, y in rows(~fold):
             zx, nx = z[x], n[x]
             root = np.sqrt(nx)
             w = np.where(np.abs(zx) <= L1, 0.0, (np.sign(zx) * L1 - zx) / ((BETA + root) / ALPHA + L2))
@@ -168,34 +195,44 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grown = nx + g * g
             z[x] = zx + (g - (np.sqrt(grown) - root) / ALPHA * w)
             n[x] = grown
-    weight = ftrl_weight(z, n)
+    weight = z
+    for i in range(0, many, COUNTED):
+        weight[i : i + COUNTED] = ftrl_weight(z[i : i + COUNTED], n[i : i + COUNTED])
     if fold.any():
-        held_out = order[fold[order]]
-        scale, shift = calibration(np.array([weight[features(i)].sum() for i in held_out]), labels[held_out])
+        scale, shift = calibration(np.array([weight[x].sum() for x, _ in rows(fold)]), labels[fold])
         if scale > 0:
             weight *= scale
             weight[number[1 << BITS]] += shift
-    used = np.flatnonzero(weight)
-    del rows, feature, number, z, n
+    used = []
+    for i in range(0, len(number), COUNTED):
+        found = i + np.flatnonzero(number[i : i + COUNTED] >= 0)
+        used.append(found[weight[number[found]] != 0])
+    used = np.concatenate(used)
+    model = pa.RecordBatch.from_arrays([pa.array(used), pa.array(weight[number[used]])], ["hash", "weight"])
+    del number, z, n, weight
     trim_memory()
-    yield pa.RecordBatch.from_arrays([pa.array(hashes[used]), pa.array(weight[used])], ["hash", "weight"])
+    yield model
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """(hashes, weights, bias) from rows (doc_id, text, toxic); about fit_rows of them, chosen by a hash of doc_id, are used.
 
-    Features are hashed in parallel and written to files in the shared folder; then one task, bounded by fit_rows, goes over all rows, since sums of tasks that learn apart
-    and are averaged leave out what few rows show.  A fold of one in FOLDS is not learned from: scale and bias are set on it, so
+    Rows are dealt by ranges of a hash, features are hashed in parallel and written to files in the shared folder; then one task, bounded by fit_rows, goes over all rows
+    in the order of that hash, since sums of tasks that learn apart and are averaged leave out what few rows show.  A fold of one in FOLDS is not learned from: scale and bias are set on it, so
     that 0.5 parts the classes, if it has LEAST_HELD rows of each.  What comes to the driver is as short as L1 makes it.  Rows
     without a label are left out.
     """
     rows = labelled.filter("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    share = min(1.0, fit_rows / max(rows.count(), 1))
+    total = rows.count()
+    share = min(1.0, fit_rows / max(total, 1))
     place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20))
     order = F.xxhash64(F.lit("order"), "doc_id", "text").alias("place")
-    dealt = rows.filter(place < F.lit(round(share * (1 << 20)))).select("text", "toxic", order)
+    tasks = 1 + round(share * total) // ROWS_A_TASK
+    part = F.shiftright((F.shiftright("place", 32) + F.lit(1 << 31)) * F.lit(tasks), 32).cast("int")  # places are hashes: as many rows in each part, parts in order
+    chosen = rows.filter(place < F.lit(round(share * (1 << 20)))).select("text", "toxic", order)
+    dealt = chosen.repartitionById(tasks, part).sortWithinPartitions("place", "toxic")
     folder = scratch(rows.sparkSession, "toxicity")
-    files = cut(dealt.mapInArrow(_features(folder), "path string, records long"))
+    files = cut(dealt.mapInArrow(_features(folder), "first long, no long, path string, records long"))
     found = files.repartition(1).mapInArrow(_learn, "hash long, weight double").toArrow()
     drop_folder(rows.sparkSession, folder)
     hashes, weights = (found.column(k).to_numpy() for k in range(2))
@@ -206,14 +243,17 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.n
 def _scores(model: tuple[np.ndarray, np.ndarray, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
-        keep, weight = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.float32)
-        keep[model[0]], weight[model[0]] = True, model[1]
+        keep, order = np.zeros(1 << BITS, bool), np.argsort(model[0])
+        keep[model[0]] = True
+        known, weight = model[0][order], model[1][order].astype(np.float32)
         hasher = Hasher()
-        for batch in batches:
-            text, feature = hasher(batch.column(1).to_pylist(), keep)
-            total = model[2] + np.bincount(text, weight[feature], minlength=batch.num_rows)
-            score = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], ["doc_id", "text_hash", "score"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(i, TEXTS_AT_ONCE)
+                text, feature = hasher(batch.column(1).to_pylist(), keep)
+                total = model[2] + np.bincount(text, weight[np.searchsorted(known, feature)], minlength=batch.num_rows)
+                score = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], ["doc_id", "text_hash", "score"])
 
     return run
 
@@ -239,12 +279,18 @@ def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], mos
     kinds, names = docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scores(model)
-        for batch in batches:
-            text = batch.column(names.index("text"))
-            blank = pa.nulls(batch.num_rows, pa.int64())
-            got = next(score(iter([pa.RecordBatch.from_arrays([blank, text, blank], ["doc_id", "text", "text_hash"])])))
-            yield batch.filter(pa.array(got.column(2).to_numpy() < most))
+        held: deque[pa.RecordBatch] = deque()
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for i in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                    held.append(batch := whole.slice(i, TEXTS_AT_ONCE))
+                    blank = pa.nulls(batch.num_rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([blank, batch.column(names.index("text")), blank], ["doc_id", "text", "text_hash"])
+
+        for got in _scores(model)(texts()):
+            yield held.popleft().filter(pa.array(got.column(2).to_numpy() < most))
+        trim_memory()
 
     return docs.mapInArrow(run, kinds)
 

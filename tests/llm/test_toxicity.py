@@ -1,8 +1,11 @@
 """What few rows show is learned whatever the number of rows, and 0.5 parts the classes on rows that were not learned from."""
 
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from rxweave.llm import toxicity
 
@@ -26,3 +29,19 @@ def test_calibration_parts_the_classes():
     margin = np.where(toxic == 1, -6.0, -9.0) + np.array([random.uniform(-1, 1) for _ in toxic])
     scale, shift = toxicity.calibration(margin, toxic)
     assert scale > 0 and ((scale * margin + shift >= 0) == (toxic == 1)).all()
+
+
+def test_memory_of_the_learning_task_does_not_grow_with_its_rows(tmp_path, monkeypatch):
+    """Eight times the rows over the same words: the task holds what it holds for each word, not the features of all rows."""
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    monkeypatch.setattr(toxicity, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng, peaks = np.random.default_rng(4), []
+    for rows in (500, 4000):
+        texts = [" ".join(map(str, rng.integers(0, 300, 2500))) for _ in range(rows)]
+        made = pa.RecordBatch.from_pydict({"text": texts, "toxic": pa.array([i % 2 for i in range(rows)], pa.int32()), "place": pa.array(range(rows), pa.int64())})
+        files = list(toxicity._features(f"file://{tmp_path}/{rows}")(iter([made])))
+        tracemalloc.start()
+        list(toxicity._learn(iter(files)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] - peaks[0] < 16e6
