@@ -8,8 +8,8 @@ cumulative differences stay within proportional budgets at every length.  Then c
 the similarity of the whole sets.  The budget (see bits_allowed) lies far above what the bound on similarity makes likely.
 
 No group is gathered.  Members of a group are first held against one of them; groups that this leaves in several parts go on, the
-members outside the largest part against all, in pairs of blocks that pass through a task in order.  There a shingle's place in the
-order says how many before it the other text lacks, and parities of shingles in buckets how many the two differ in at least: both
+members outside the largest part against all, in pairs of blocks that pass through a task in order: first each is linked to the one
+most like it, then pairs of what are still different parts are taken, all of them.  There a shingle's place in the order says how many before it the other text lacks, and parities of shingles in buckets how many the two differ in at least: both
 are bounds that no pair of the similarity exceeds, and in a family of copies few others are left for the whole sets.
 """
 
@@ -316,9 +316,9 @@ def _to_the_first(least: Fraction, most: int):
     return run
 
 
-def _across(least: Fraction, most: int):
+def _across(least: Fraction, most: int, nearest: bool):
     """Of rows (s, x, y, key, n, low, high, at, part, few, late, odd) in the order of s, x and y, the members of blocks x and y of a group: pairs
-    of different parts that can have the similarity.
+    of different parts that can have the similarity; nearest: for each of the few only the one that its parities are most alike to.
 
     late marks the members of y where that is another block.  Where s is the first shingle that two texts share, neither has
     those that come before its place in the other; a pair that s fails for this passes under its first one if it is similar.
@@ -340,14 +340,17 @@ def _across(least: Fraction, most: int):
             count = size[rows_]
             i = np.repeat(rows_, count)
             j = np.repeat(begin[rows_] - np.cumsum(count) + count, count) + np.arange(len(i))
-            ok = (part[i] != part[j]) & ((x[i] == y[i]) | (late[i] != late[j])) & (~few[j] | (i < j))
+            ok = (part[i] != part[j]) & ((x[i] == y[i]) | (late[i] != late[j])) & (nearest | ~few[j] | (i < j))
             i, j = i[ok], j[ok]
             ok = q * np.minimum(n[i] - at[i], n[j] - at[j]) >= p * (n[i] + n[j])
             i, j = i[ok], j[ok]
             ok = _near((n, low, high), i, j, least, most)
             i, j = i[ok], j[ok]
-            both = n[i] + n[j]
-            ok = q * (both - parities_apart(data, offsets[:-1], np.diff(offsets), i, j)) >= 2 * p * both
+            both, apart = n[i] + n[j], parities_apart(data, offsets[:-1], np.diff(offsets), i, j)
+            ok = np.flatnonzero(q * (both - apart) >= 2 * p * both)
+            if nearest:
+                ok = ok[np.lexsort(((apart / both)[ok], i[ok]))]
+                ok = ok[np.concatenate(([True], i[ok[1:]] != i[ok[:-1]]))[: len(ok)]]
             yield _pair_batch(key[i[ok]], key[j[ok]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,26 +420,30 @@ def link(texts: DataFrame, marked: DataFrame, words: int, least: Fraction, block
     shared = rows.repartition("s").sortWithinPartitions("s", "key").mapInArrow(_shared, "s long, key long, at int")
     met = cut(shared.join(corpus.nodes.drop("text_hash", "odd"), "key").select("s", "key", "n", "low", "high", "at"))
     first = cut(met.repartition("s").sortWithinPartitions("s", "key").mapInArrow(_to_the_first(least, most), "a long, b long").distinct())
-    links = corpus.links(first)
-
-    parts = connected(links).select(F.col("node").alias("key"), F.col("root").alias("part"))
-    named = cut(met.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")))
-    groups = named.groupBy("s").agg(F.count("*").alias("m"), F.min("n").alias("shortest"), F.min("part").alias("one"), F.max("part").alias("other")).filter("m > 2 and one <> other")
-    largest = named.groupBy("s", "part").agg(F.count("*").alias("m")).groupBy("s").agg(F.max_by("part", F.struct("m", "part")).alias("largest"))
-    split = groups.select("s", "m", "shortest").join(largest, "s")
-    # What is left of a text from its place on must be enough for the shortest of the group.
+    links, asked, rest = corpus.links(first), first, met
     p, q = least.numerator, least.numerator + least.denominator
-    outside = named.join(split, "s").filter(q * (F.col("n") - F.col("at")) >= p * (F.col("n") + F.col("shortest")).cast("long"))
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    outside = outside.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    x, y = F.least("own", "o"), F.greatest("own", "o")
     odd = corpus.nodes.select("key", "odd")
-    cells = outside.join(odd, "key").select(
-        "s", x.alias("x"), y.alias("y"), "key", "n", "low", "high", "at", "part", (F.col("part") != F.col("largest")).alias("few"), (F.col("own") != x).alias("late"), "odd"
-    )
-    pairs = cells.repartition("s", "x", "y").sortWithinPartitions("s", "x", "y").mapInArrow(_across(least, most), "a long, b long")
-    second = pairs.distinct().join(first, ["a", "b"], "left_anti")
-    return links.union(corpus.links(cut(second)))
+    for nearest in (True, False):
+        parts = connected(links).select(F.col("node").alias("key"), F.col("root").alias("part"))
+        named = cut(rest.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")))
+        groups = named.groupBy("s").agg(F.count("*").alias("m"), F.min("n").alias("shortest"), F.min("part").alias("one"), F.max("part").alias("other")).filter("m > 2 and one <> other")
+        largest = named.groupBy("s", "part").agg(F.count("*").alias("m")).groupBy("s").agg(F.max_by("part", F.struct("m", "part")).alias("largest"))
+        split = cut(named.join(groups.select("s", "m", "shortest").join(largest, "s"), "s"))
+        if split.isEmpty():
+            break
+        rest = split.select(*met.columns)  # what is one part now stays one
+        # What is left of a text from its place on must be enough for the shortest of the group.
+        outside = split.filter(q * (F.col("n") - F.col("at")) >= p * (F.col("n") + F.col("shortest")).cast("long"))
+        blocks = F.ceil(F.col("m") / block).cast("int")
+        outside = outside.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        x, y = F.least("own", "o"), F.greatest("own", "o")
+        cells = outside.join(odd, "key").select(
+            "s", x.alias("x"), y.alias("y"), "key", "n", "low", "high", "at", "part", (F.col("part") != F.col("largest")).alias("few"), (F.col("own") != x).alias("late"), "odd"
+        )
+        pairs = cells.repartition("s", "x", "y").sortWithinPartitions("s", "x", "y").mapInArrow(_across(least, most, nearest), "a long, b long")
+        new = cut(pairs.distinct().join(asked, ["a", "b"], "left_anti"))
+        links, asked = links.union(corpus.links(new)), asked.union(new)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = LEAST, block: int = BLOCK) -> DataFrame:

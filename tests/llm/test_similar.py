@@ -99,6 +99,25 @@ def test_family_leaves_few_pairs(spark, monkeypatch, block):
     assert asked[1] < 3000  # of 28,680
 
 
+def test_members_of_one_part_are_linked_once(spark, monkeypatch):
+    """A family whose members are mostly similar to each other, but not all to its first: pairs that are compared grow with the members."""
+    random.seed(11)
+    base = [f"w{random.randrange(9000)}" for _ in range(150)]
+    texts = {}
+    for i in range(500):
+        t = list(base)
+        for _ in range(random.randrange(1, 4)):
+            t[random.randrange(150)] = f"v{random.randrange(9000)}"
+        texts[i] = " ".join(t)
+    asked, links = [], similar._Corpus.links
+    monkeypatch.setattr(similar._Corpus, "links", lambda self, pairs: asked.append(pairs.count()) or links(self, pairs))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    roots = {r.doc_id: r.root for r in similar.near_duplicates(docs).collect()}
+    want = components(texts)
+    assert len({(roots[i], want[i]) for i in texts}) == len(set(roots.values())) == len(set(want.values()))
+    assert sum(asked[1:]) < 2000, asked
+
+
 def test_stage_on_a_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
