@@ -68,10 +68,14 @@ def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
 
 
 def lean_memory() -> None:
-    """Let this Python worker's Arrow batches go back to the system as soon as they are freed; to be called as a task begins."""
+    """Let this Python worker's Arrow batches and large arrays go back to the system as soon as they are freed; to be called as a task begins."""
+    import ctypes
+
     import pyarrow as pa
 
     pa.set_memory_pool(pa.system_memory_pool())
+    if setting := getattr(ctypes.CDLL(None), "mallopt", None):
+        setting(-3, 1 << 20)  # M_MMAP_THRESHOLD, which would else grow with what is freed
 
 
 def trim_memory() -> None:

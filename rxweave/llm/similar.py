@@ -318,7 +318,7 @@ def _to_the_first(least: Fraction, most: int):
 
 def _across(least: Fraction, most: int, nearest: bool):
     """Of rows (s, x, y, key, n, low, high, at, part, few, late, odd) in the order of s, x and y, the members of blocks x and y of a group: pairs
-    of different parts that can have the similarity; nearest: for each of the few only the one that its parities are most alike to.
+    (s, a, b) of different parts that can have the similarity; nearest: for each of the few only the one that its parities are most alike to.
 
     late marks the members of y where that is another block.  Where s is the first shingle that two texts share, neither has
     those that come before its place in the other; a pair that s fails for this passes under its first one if it is similar.
@@ -351,7 +351,7 @@ def _across(least: Fraction, most: int, nearest: bool):
             if nearest:
                 ok = ok[np.lexsort(((apart / both)[ok], i[ok]))]
                 ok = ok[np.concatenate(([True], i[ok[1:]] != i[ok[:-1]]))[: len(ok)]]
-            yield _pair_batch(key[i[ok]], key[j[ok]])
+            yield pa.RecordBatch.from_arrays([pa.array(s[i[ok]]), *_pair_batch(key[i[ok]], key[j[ok]]).columns], ["s", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
@@ -428,10 +428,7 @@ def link(texts: DataFrame, marked: DataFrame, words: int, least: Fraction, block
         named = cut(rest.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")))
         groups = named.groupBy("s").agg(F.count("*").alias("m"), F.min("n").alias("shortest"), F.min("part").alias("one"), F.max("part").alias("other")).filter("m > 2 and one <> other")
         largest = named.groupBy("s", "part").agg(F.count("*").alias("m")).groupBy("s").agg(F.max_by("part", F.struct("m", "part")).alias("largest"))
-        split = cut(named.join(groups.select("s", "m", "shortest").join(largest, "s"), "s"))
-        if split.isEmpty():
-            break
-        rest = split.select(*met.columns)  # what is one part now stays one
+        split = named.join(groups.select("s", "m", "shortest").join(largest, "s"), "s")
         # What is left of a text from its place on must be enough for the shortest of the group.
         outside = split.filter(q * (F.col("n") - F.col("at")) >= p * (F.col("n") + F.col("shortest")).cast("long"))
         blocks = F.ceil(F.col("m") / block).cast("int")
@@ -440,9 +437,11 @@ def link(texts: DataFrame, marked: DataFrame, words: int, least: Fraction, block
         cells = outside.join(odd, "key").select(
             "s", x.alias("x"), y.alias("y"), "key", "n", "low", "high", "at", "part", (F.col("part") != F.col("largest")).alias("few"), (F.col("own") != x).alias("late"), "odd"
         )
-        pairs = cells.repartition("s", "x", "y").sortWithinPartitions("s", "x", "y").mapInArrow(_across(least, most, nearest), "a long, b long")
-        new = cut(pairs.distinct().join(asked, ["a", "b"], "left_anti"))
+        pairs = cut(cells.repartition("s", "x", "y").sortWithinPartitions("s", "x", "y").mapInArrow(_across(least, most, nearest), "s long, a long, b long"))
+        new = cut(pairs.select("a", "b").distinct().join(asked, ["a", "b"], "left_anti"))
         links, asked = links.union(corpus.links(new)), asked.union(new)
+        # Parts only grow together: a group without such a pair now has none later.
+        rest = named.select(*met.columns).join(sized(pairs.select("s").distinct()), "s", "left_semi")
     return links
 
 
